@@ -54,7 +54,7 @@ MAYBE = "@|[0-9]|[=:]|" + "|".join(TITLES) + "|AKIA|gh[pousr]_|sk-|xox"
 
 
 def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins."""
+    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins. A name's type tells the gender: name-m, name-f, name-."""
     if not text:
         return []
     found = []
@@ -78,7 +78,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     for m in _NAME.finditer(text) if any(t in text for t in TITLES) else ():
         if m[3][0].isupper() and m[3][1:].islower():
             end = m.end() if m[5] and m[5][0].isupper() else m.end(3)
-            found.append((m.start(), end, "name"))
+            found.append((m.start(3), end, "name-" + TITLES[m[1]]))
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
     for x in found:
@@ -242,20 +242,9 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """As detect, with a name's gender in its type: name-m, name-f, name-."""
-    out = []
-    for start, end, kind in detect(text):
-        if kind == "name":
-            title = next(m[1] for m in [re.search(r"(\w+)\.? \Z", text[max(0, start - 20) : start])])
-            kind = "name-" + TITLES[title]
-        out.append((start, end, kind))
-    return out
-
-
 def replace(text: str | None, make: Surrogates, attempts: dict | None = None) -> tuple[str | None, int]:
     """The text with surrogates, and the number of entities."""
-    found = entities(text)
+    found = detect(text)
     if not found:
         return text, 0
     out, last = [], 0
@@ -272,7 +261,7 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text", max_attempts
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = sorted({(k, t[x:y]) for t in b.column("text").to_pylist() for x, y, k in entities(t)})
+            got = sorted({(k, t[x:y]) for t in b.column("text").to_pylist() for x, y, k in detect(t)})
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got]), pa.array([e for _, e in got])], names=["kind", "entity"])
 
@@ -323,7 +312,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 def _attempts(docs: DataFrame, more: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, k, e) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for k, e in sorted({(k, t[x:y]) for x, y, k in entities(t) if k.startswith("name")})]
+            got = [(i, k, e) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for k, e in sorted({(k, t[x:y]) for x, y, k in detect(t) if k.startswith("name")})]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["__id", "kind", "entity"])
 
