@@ -5,7 +5,7 @@ Every surrogate is a keyed permutation of the strings of the entity's own shape
 distinct entities of a shape keep distinct surrogates and the same entity has
 the same one everywhere. Given names come from lists by gender, where two
 entities can meet; the distinct entities of the corpus are therefore gathered,
-their surrogates compared, and all but the first of those that meet get the next
+their surrogates compared, and all but the first of those that meet get another
 attempt, until none meet.
 """
 
@@ -275,12 +275,13 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text", max_attempts
     known = materialise(texts.mapInArrow(find, "kind string, entity string").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(max_attempts):
         made = materialise(known.mapInArrow(surrogates, "kind string, entity string, attempt int, surrogate string"), "surrogates")
-        clash = made.groupBy("kind", "surrogate").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k2"), F.col("surrogate").alias("s2"), "first")
+        clash = made.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k2"), F.col("surrogate").alias("s2"))
         clash = materialise(clash, "clashes")
         if clash.isEmpty():
             return known
-        hit = made.join(clash, (F.col("kind") == F.col("k2")) & (F.col("surrogate") == F.col("s2")), "left")
-        known = materialise(hit.select("kind", "entity", (F.col("attempt") + F.when(F.col("first") != F.col("entity"), 1).otherwise(0)).cast("int").alias("attempt")), "entities")
+        hit = materialise(made.join(clash, (F.col("kind") == F.col("k2")) & (F.col("surrogate") == F.col("s2")), "left"), "hit")
+        again = hit.where("k2 IS NOT NULL").selectExpr("kind", "entity", "CAST(attempt + row_number() OVER (PARTITION BY kind, surrogate ORDER BY entity) - 1 AS INT) AS attempt")
+        known = materialise(hit.where("k2 IS NULL").select("kind", "entity", "attempt").union(again), "entities")
     raise RuntimeError("surrogates still meet")
 
 
