@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Recent, small_batches
 
 #: What is remembered of each kind at most; beyond it, it is forgotten and made anew.
-STATES, PIECES = 300_000, 800_000
+STATES, PIECES = 300_000, 1_600_000
 #: White space beside a space or at an end.
 EDGE = re.compile(r" \s|\s |^\s|\s\Z").search
 _coders: dict[tuple, ByteBpe] = {}
@@ -67,6 +67,11 @@ class ByteBpe:
         self.pieces = Recent(PIECES // 2, self.chunk)
         self.forget()
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        # The moves from the state without unfinished bytes back to it; None: others.
+        self.whole: list[str | None] = [None] * (max(self.bytes_of) + 1)
+        for i, b in self.bytes_of.items():
+            rest, text = utf8_move(b"", b)
+            self.whole[i] = None if rest or "�" in text else text
 
     def merge(self, data: bytes, until: int = 1) -> list[int]:
         """The merges carried out literally, the lowest rank first, the leftmost of equals, until so many parts are left."""
@@ -185,7 +190,14 @@ class ByteBpe:
         return struct.pack(f"<{len(out)}I", *out)
 
     def chunk(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        """The ids of a run without white space, with its leading space."""
+        words, body = self.words, text[1:]
+        if text.isascii() and text[:1] == " " and len(text) > 2:  # plain words, as the pattern would cut them
+            if body.isalpha():
+                return words[text]
+            if body[:-1].isalpha() and body[-1] in ".,;:!?":
+                return words[text[:-1]] + words[text[-1]]
+        return b"".join(map(words.__getitem__, self.split(text)))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids. Null is empty.
@@ -223,6 +235,26 @@ class ByteBpe:
         if state:
             yield "�"
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of all ids: tokens of whole characters by a table, the others by the state machine."""
+        out = list(map(self.whole.__getitem__, ids))
+        k, left = -1, out.count(None)
+        while left > 0:
+            k = out.index(None, k + 1)
+            state = b""
+            while k < len(ids):
+                move = self.moves.get((state, ids[k]))
+                if move is None:
+                    move = self.moves[state, ids[k]] = utf8_move(state, self.bytes_of[ids[k]])
+                left -= out[k] is None
+                state, out[k] = move
+                if not state:
+                    break
+                k += 1
+            if state:
+                out.append("�")
+        return "".join(out)
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -284,7 +316,7 @@ def decode_column(rows: DataFrame, vocabulary: str, pattern: str, ids_col="ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary, pattern)
         for b in batches:
-            text = ["".join(c.decode_stream(x or ())) for x in b.column(ids_col).to_pylist()]
+            text = [c.decode(x or []) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, out_col])
 
     return rows.mapInArrow(run, _with(rows, f"{out_col} string"))
@@ -304,7 +336,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         c = coder(vocabulary, pattern)
         for b in batches:
             raw = [c.encode(t) for t in b.column("text").to_pylist()]
-            back = ["".join(c.decode_stream(np.frombuffer(x, "<u4").tolist())) for x in raw]
+            back = [c.decode(np.frombuffer(x, "<u4").tolist()) for x in raw]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array([len(x) // 4 for x in raw], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in raw]),

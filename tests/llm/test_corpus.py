@@ -262,3 +262,10 @@ def test_components_of_long_paths(spark):
     edges = [(k, k + 1) for k in range(0, 400)] + [(1000, k) for k in range(1001, 1300)] + [(7000, 7000), (None, 3)]
     got = {r.id: r.component for r in connected_components(frame(spark, edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(401)) and all(got[k] == 1000 for k in range(1000, 1300)) and 7000 not in got
+
+
+def test_decode_of_broken_sequences():
+    c = bbpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    byte = lambda *v: [c.ranks[bytes([x])] for x in v]
+    for ids in (byte(0xE6, 0x97, 0xA5), byte(0xE6, 0x41, 0xC3), byte(0x41, 0xF0, 0x9F), byte(0xFF, 0xC3, 0xA9), []):
+        assert c.decode(ids) == "".join(c.decode_stream(ids)) == c.decode_bytes(ids).decode("utf-8", "replace")
