@@ -1,13 +1,15 @@
 """Connected components of an undirected graph, wholly on the executors.
 
-Each round every vertex takes the least of its neighbours and itself, under a
-random order drawn anew for the round, as its new name; edges are renamed and
-loops and repeats dropped. A random order shrinks paths and stars alike by a
-constant factor a round, so the rounds grow with the logarithm of the graph.
-Minima are combined before the shuffle, and the renaming joins feed an exchange
-rather than an aggregate on the same key, so that adaptive execution can split
-the partition of a vertex with very many edges. Every round is written to the
-shared folder.
+Each round every vertex takes the least of its neighbours and itself as its new
+name; edges are renamed and loops and repeats dropped. Two rounds take the least
+id, which folds stars (what the joins here make) at once; every third
+takes the least under a random order drawn anew, which shrinks any graph,
+long paths too, by a constant factor. So the rounds grow with the logarithm of
+the graph at worst. Minima are combined before the shuffle, and the renaming
+joins feed an exchange rather than an aggregate on the same key, so that adaptive
+execution can split the partition of a vertex with very many edges. Names and
+edges of every round are written to the shared folder; the names are put together
+at the end, from the last and smallest round to the first.
 """
 
 from __future__ import annotations
@@ -24,25 +26,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     ``component`` is the smallest id of the component. Null ends and loops are
     ignored; no edge gives no row.
     """
-    e = materialise(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct(),
-        "cc-edges",
-    )
-    both = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    label = materialise(both.select("id", F.col("id").alias("label")), "cc-label")
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e, names = materialise(e.distinct(), "cc-edges"), []
     for rnd in range(max_rounds):
-        if e.isEmpty():
+        if rnd and e.isEmpty():
             break
         sym = e.select("a", "b").union(e.select("b", "a")).toDF("u", "v")
-        key = lambda c: F.struct(F.xxhash64(F.lit(rnd), F.col(c)).alias("h"), F.col(c).alias("x"))
+        rank = lambda c: F.xxhash64(F.lit(rnd), F.col(c)) if rnd % 3 == 2 else F.col(c)
+        key = lambda c: F.struct(rank(c).alias("h"), F.col(c).alias("x"))
         up = sym.groupBy("u").agg(F.min(key("v")).alias("m")).select("u", F.least("m", key("u"))["x"].alias("to"))
         up = materialise(up, "cc-up")
-        label = materialise(
-            label.join(up, label["label"] == up["u"], "left").select("id", F.coalesce("to", "label").alias("label")),
-            "cc-label",
-        )
+        names.append(up)
         left, right = up.toDF("a", "a2"), up.toDF("b", "b2")
         e = materialise(
             e.join(left, "a").select("a2", "b").join(right, "b").where("a2 <> b2")
@@ -51,5 +45,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         )
     else:
         raise RuntimeError("components did not settle")
+    label = names.pop().toDF("id", "label")
+    for up in reversed(names):
+        later = label.toDF("u2", "label")
+        label = materialise(up.join(later, up["to"] == later["u2"], "left").select(F.col("u").alias("id"), F.coalesce("label", "to").alias("label")), "cc-label")
     least = label.groupBy("label").agg(F.min("id").alias("component"))
     return label.join(least, "label").select("id", "component")
