@@ -28,10 +28,14 @@ WRITE = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "compression": "zstd",
 }
-#: Distinct pieces of text, and words, that a worker remembers.
-CACHE = 800_000
-#: The tokenizer's own split, for lower-case ASCII.
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall
+#: Distinct words that a worker remembers.
+CACHE = 1_000_000
+#: ASCII white space, signs, letters and digits, Latin letters that no normal form changes, and common dashes and quotes.
+PLAIN = re.compile("[\t\n\r -~\u00c0-\u012f\u0132-\u017f\u2010-\u2027]*").fullmatch
+#: The tokenizer's own split, for plain text in lower case.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^\\sa-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f0-9]+").findall
+#: Stands between words that go to the library together; no plain text holds it.
+MARK = "\x01"
 _cache: dict[str, PieceEncoder] = {}
 
 
@@ -39,68 +43,57 @@ class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     The tokenizer lowers case and splits at white space, letters, digits and signs
-    before it merges, so a text's ids are those of its pieces in turn. Texts are cut
-    at U+0020 and U+000A; pieces in ASCII are lowered and cut into words by the
-    tokenizer's own pattern, others go to the library whole. Words go to it many
-    at a time, with a digit between them, whose id marks where the next one begins.
+    before it merges, so a text's ids are those of its words in turn. Plain text is
+    lowered and cut into words here by the tokenizer's own pattern; in other texts
+    so are the plain pieces between U+0020 and U+000A, and the other pieces go to
+    the library whole. It merges new words many at a time, with marks between them,
+    without its normaliser.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.mark = self._library("7").tolist()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.old: tuple[dict, dict] = ({}, {})
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        """Words and pieces with a digit go to the library by themselves, others together."""
-        alone = [w for w in words if any(map(str.isnumeric, w))] if len(self.mark) == 1 else words
-        single = set(alone)
-        words = [w for w in words if w not in single]
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            ids = self._library(" 7 ".join(part))
-            cut = np.nonzero(ids == self.mark[0])[0]
-            if len(cut) != len(part) - 1:
-                single.update(part)
-                continue
-            raw, edges = ids.tobytes(), [-4, *(cut * 4).tolist(), 4 * len(ids)]
-            for w, x, y in zip(part, edges[:-1], edges[1:], strict=True):
-                self.words[w] = raw[x + 4 : y]
-        if single:
-            for w, e in zip(single, self.tok.encode_batch_fast(list(single), add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tok, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = self.merger.encode_special_tokens = True
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = np.frombuffer(self._ids(self.merger, [MARK])[0], "<u4")
+        if len(self.mark) != 1:
+            raise ValueError("the mark is not a token of its own in this vocabulary")
+        self.words: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, tok, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str]:
+        if PLAIN(text):
+            return SPLIT(text.lower())
+        return [w for p in text.replace("\n", " ").split(" ") for w in (SPLIT(p.lower()) if PLAIN(p) else (p,))]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = sorted(filter(PLAIN, new))
+        for k in range(0, len(plain), 5000):
+            part = plain[k : k + 5000]
+            raw = self._ids(self.merger, [f" {MARK} ".join(part)])[0]
+            cut = (np.nonzero(np.frombuffer(raw, "<u4") == self.mark)[0] * 4).tolist()
+            self.words.update(zip(part, [raw[x + 4 : y] for x, y in zip([-4, *cut], [*cut, len(raw)], strict=True)], strict=True))
+        if len(plain) < len(new):
+            others = list(set(new).difference(plain))
+            self.words.update(zip(others, self._ids(self.tok, others), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        pieces, words, (old_pieces, old_words) = self.pieces, self.words, self.old
-        cut, need = {}, set()
-        for p in set().union(*split).difference(pieces):
-            if (got := old_pieces.get(p)) is not None:
-                pieces[p] = got
-                continue
-            cut[p] = found = ASCII_SPLIT(p.lower()) if p.isascii() else [p]
-            for w in found:
-                if w not in words:
-                    if (got := old_words.get(w)) is not None:
-                        words[w] = got
-                    else:
-                        need.add(w)
-        self._learn(sorted(need))
-        for p, found in cut.items():
-            pieces[p] = words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
-        out = [b"".join(map(pieces.__getitem__, ps)) for ps in split]
-        if max(len(pieces), len(words)) > CACHE // 2:
-            self.old = (pieces, words)
-            self.pieces, self.words = {"": b""}, {}
+        split = [self._cut(t or "") for t in texts]
+        words, old = self.words, self.old
+        new = set().union(*split).difference(words)
+        known = new.intersection(old)
+        words.update(zip(known, map(old.__getitem__, known), strict=True))
+        self._learn(list(new - known))
+        out = [b"".join(map(words.__getitem__, ws)) for ws in split]
+        if len(words) > CACHE // 2:
+            self.words, self.old = {"": b""}, words
         return out
 
 
