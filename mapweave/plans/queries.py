@@ -353,21 +353,21 @@ def f15_segmentize(spark, sf):
 @query()
 def f16_simplify(spark, sf):
     """F16: simplified lines."""
-    l = _lines(spark, sf).where("way_id % 10 = 0").withColumn("geom", st.as_linestring("line"))
+    l = _lines(spark, sf).withColumn("geom", st.as_linestring("line"))
     return l.select("way_id", st.n_points(st.simplify("geom", 20.0)).alias("n"))
 
 
 @query()
 def f4_ellipsoid(spark, sf):
     """lengths and areas on the ellipsoid."""
-    s = D.stars(spark, sf).where("id % 50 = 0").withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
+    s = D.stars(spark, sf).withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
     return s.select("id", F.round(st.spherical_area("geom"), 0).alias("area"), F.round(st.spherical_length(st.as_linestring("ring")), 3).alias("length"))
 
 
 @query()
 def f17_pole(spark, sf):
     """poles of inaccessibility."""
-    s = D.stars(spark, sf).where("id % 50 = 0").withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
+    s = D.stars(spark, sf).withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
     return s.select("id", F.hex(st.pole_of_inaccessibility("geom")).alias("pole"))
 
 
@@ -375,7 +375,7 @@ def f17_pole(spark, sf):
 def f14_line_merge(spark, sf):
     """members' lines merged, and their parts."""
     pts = R.locate(D.edges(spark, sf), D.nodes(spark, sf))
-    m = R.members(D.members(spark, sf).where("rel_id % 20 = 0"), D.nodes(spark, sf), pts, "w")
+    m = R.members(D.members(spark, sf), D.nodes(spark, sf), pts, "w")
     g = m.withColumn("geom", st.as_multilinestring(F.transform("members", lambda v: v["pts"]))).where("geom IS NOT NULL")
     return g.select("rel_id", st.num_geometries(st.line_merge("geom")).alias("n"), F.size(st.split_multi("geom")).alias("parts"), r6(st.length("geom")).alias("length"))
 
@@ -384,7 +384,7 @@ def f14_line_merge(spark, sf):
 def g7_relation_geometries(spark, sf):
     """Points, multipoints, multipolygons and collections of relations."""
     pts = R.locate(D.edges(spark, sf), D.nodes(spark, sf))
-    m = R.members(D.members(spark, sf).where("rel_id % 20 = 0"), D.nodes(spark, sf), pts)
+    m = R.members(D.members(spark, sf), D.nodes(spark, sf), pts)
     of = lambda t: F.transform(F.filter("members", lambda v: v["type"] == t), lambda v: v["pts"])
     return m.select("rel_id", st.geometry_type(st.as_multipoint(F.flatten(of("n")))).alias("points"), st.geometry_type(st.as_multipolygon(of("w"))).alias("areas"), st.num_geometries(st.as_geometrycollection(F.transform("members", lambda v: v["pts"]))).alias("n"))
 
@@ -441,7 +441,7 @@ def h11_tile_boxes(spark, sf):
 
 
 def _mercator_line(spark, sf):
-    return _lines(spark, sf).where("way_id % 20 = 0").select("way_id", F.transform("line", lambda p: F.struct(C.mercator_x(p["x"]).alias("x"), C.mercator_y(p["y"]).alias("y"))).alias("line"))
+    return _lines(spark, sf).select("way_id", F.transform("line", lambda p: F.struct(C.mercator_x(p["x"]).alias("x"), C.mercator_y(p["y"]).alias("y"))).alias("line"))
 
 
 @query()
@@ -454,7 +454,7 @@ def e2_line_tiles(spark, sf):
 @query()
 def e4_area_tiles(spark, sf):
     """Tiles of areas, boundary and inside."""
-    s = D.stars(spark, sf).where("id % 10 = 0").withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
+    s = D.stars(spark, sf).withColumn("geom", st.as_polygon("ring")).where("geom IS NOT NULL")
     return s.select("id", F.explode(E.geometry_tiles(st.transform("geom", 3857), 12)).alias("t")).select("id", "t.x", "t.y")
 
 
