@@ -107,17 +107,17 @@ def river_widths(lines: DataFrame, areas: DataFrame) -> DataFrame:
 def fill(canvas: np.ndarray, rings: list[np.ndarray]) -> None:
     """Set the pixels whose centres lie within, even-odd."""
     n = canvas.shape[0]
-    ys = np.concatenate([r[:, 1] for r in rings])
-    for row in range(max(0, int(np.floor(ys.min()))), min(n, int(np.ceil(ys.max())) + 1)):
-        y = row + 0.5
-        xs = []
-        for r in rings:
-            a, b = r[:-1], r[1:]
-            cut = (a[:, 1] > y) != (b[:, 1] > y)
-            xs.append(a[cut, 0] + (y - a[cut, 1]) / (b[cut, 1] - a[cut, 1]) * (b[cut, 0] - a[cut, 0]))
-        xs = np.sort(np.concatenate(xs))
-        for u, v in zip(xs[::2], xs[1::2], strict=False):
-            canvas[row, max(0, int(np.ceil(u - 0.5))) : max(0, min(n, int(np.floor(v - 0.5)) + 1))] = True
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    rows = np.arange(max(0, int(np.floor(a[:, 1].min()))), min(n, int(np.ceil(a[:, 1].max())) + 1))
+    y = rows[:, None] + 0.5
+    cut = (a[:, 1] > y) != (b[:, 1] > y)
+    rise = np.where(a[:, 1] == b[:, 1], 1.0, b[:, 1] - a[:, 1])
+    xs = np.sort(np.where(cut, a[:, 0] + (y - a[:, 1]) / rise * (b[:, 0] - a[:, 0]), np.inf), axis=1)
+    most = int(cut.sum(axis=1).max(initial=0))
+    at = np.arange(n)
+    for k in range(0, most, 2):
+        u, v = xs[:, k, None], xs[:, k + 1, None]
+        canvas[rows] |= (at >= np.ceil(u - 0.5)) & (at < np.floor(v - 0.5) + 1) & np.isfinite(v)
 
 
 def dilate(c: np.ndarray, r: int) -> np.ndarray:

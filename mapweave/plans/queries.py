@@ -517,26 +517,26 @@ def n4_river_propagation(spark, sf):
 
 
 def _area_tiles(spark, sf):
-    s = D.stars(spark, sf).where("id % 10 = 0").withColumn("geom", st.transform(st.as_polygon("ring"), 3857)).where("geom IS NOT NULL").withColumn("b", st.bbox("geom"))
+    s = D.stars(spark, sf).withColumn("geom", st.transform(st.as_polygon("ring"), 3857)).where("geom IS NOT NULL").withColumn("b", st.bbox("geom"))
     return X.tile_join(s.select("id", "geom", F.expr("CAST(id % 2 AS STRING)").alias("grp"), F.expr("CAST(id % 3 AS STRING)").alias("layer"), "b.*"), 10)
 
 
 @query()
 def n2_raster_union(spark, sf):
     """Areas drawn, closed and traced by tile and group."""
-    return G.raster_union(_area_tiles(spark, sf), 10, extent=64).select("tx", "ty", "grp", F.round("area", 0).alias("area"))
+    return G.raster_union(_area_tiles(spark, sf), 10).select("tx", "ty", "grp", F.round("area", 0).alias("area"))
 
 
 @query()
 def n3_builtup(spark, sf):
     """Layers drawn apart and joined."""
-    return G.raster_union(_area_tiles(spark, sf).withColumn("grp", F.lit("")), 10, extent=64, builtup=True, least=4).select("tx", "ty", F.round("area", 0).alias("area"))
+    return G.raster_union(_area_tiles(spark, sf).withColumn("grp", F.lit("")), 10, builtup=True, least=4).select("tx", "ty", F.round("area", 0).alias("area"))
 
 
 @query()
 def n1_vector_union(spark, sf):
     """Unions on a fine canvas."""
-    return G.vector_union(_area_tiles(spark, sf), 10, extent=128).select("tx", "ty", "grp", F.round("area", 0).alias("area"))
+    return G.vector_union(_area_tiles(spark, sf), 10).select("tx", "ty", "grp", F.round("area", 0).alias("area"))
 
 
 @query(f"SELECT x AS tx, y AS ty, count(*) AS n FROM (SELECT {_TILE} FROM nodes) WHERE x % 2 = 0 GROUP BY x, y")

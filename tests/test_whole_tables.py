@@ -1,10 +1,15 @@
 """Registered queries without SQL reach every object of their tables, with the kernels' own values."""
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from mapweave.functions import shapes as S
+from mapweave.functions.coords import EARTH
 from mapweave.operators import expire as E
+from mapweave.operators import generalize as G
 from mapweave.sources import demo as D
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +44,37 @@ def test_all_lines_and_relations(spark):
     assert ways <= {r["way_id"] for r in entry.queries()["e2_line_tiles"](spark, SF).select("way_id").distinct().collect()}
     rels = {r["rel_id"] for r in D.members(spark, SF).select("rel_id").distinct().collect()}
     assert rels == {r["rel_id"] for r in rows(spark, "f14_line_merge")} == {r["rel_id"] for r in rows(spark, "g7_relation_geometries")}
+
+
+def test_fill_by_pixels():
+    rng, at = np.random.default_rng(1), np.arange(40) + 0.5
+    for _ in range(60):
+        rings = [np.vstack([p, p[:1]]) for p in (rng.uniform(-20, 60, (int(rng.integers(3, 8)), 2)) for _ in range(2))]
+        canvas, want = np.zeros((40, 40), bool), np.zeros((40, 40), bool)
+        G.fill(canvas, rings)
+        for r in rings:
+            for (xa, ya), (xb, yb) in zip(r[:-1], r[1:], strict=True):
+                if ya != yb:
+                    want ^= ((ya > at) != (yb > at))[:, None] & (at[None, :] < (xa + (at - ya) / (yb - ya) * (xb - xa))[:, None])
+        assert (canvas == want).all()
+
+
+@pytest.mark.parametrize("name, extent, pad, buffer, parts", [("n1_vector_union", 512, 0, 1, 1), ("n2_raster_union", 256, 25, 2, 1), ("n3_builtup", 256, 25, 2, 3)])
+def test_unions_of_all_areas(spark, rings, name, extent, pad, buffer, parts):
+    got = defaultdict(float)
+    for r in rows(spark, name):
+        got[r["tx"], r["ty"], "" if parts == 3 else r["grp"]] += r["area"]
+    width, n, want = EARTH / 1024, extent + 2 * pad, {}
+    for tx, ty in {(r["tx"], r["ty"]) for r in rows(spark, name)}:
+        for grp in ("",) if parts == 3 else ("0", "1"):
+            whole = np.zeros((n, n), bool)
+            for layer in range(parts):
+                drawn = np.zeros((n, n), bool)
+                for k, g in rings.items():
+                    if (parts == 3 and k % 3 == layer) or (parts == 1 and str(k % 2) == grp):
+                        one = np.zeros((n, n), bool)
+                        G.fill(one, [np.array([((x + EARTH / 2) / width * extent - tx * extent + pad, (EARTH / 2 - y) / width * extent - ty * extent + pad) for x, y in r]) for r in S.transform(g, 3857).data])
+                        drawn |= one
+                whole |= G.open_close(drawn, buffer)
+            want[tx, ty, grp] = whole[pad : pad + extent, pad : pad + extent].sum() * (width / extent) ** 2
+    assert got == pytest.approx(want, abs=(4 if parts == 3 else 0.5) * (width / extent) ** 2)
