@@ -38,8 +38,8 @@ def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
 
-def _lines(spark, sf):
-    return R.way_lines(R.locate(D.edges(spark, sf), D.nodes(spark, sf)))
+def _lines(spark, sf, missing=True):
+    return R.way_lines(R.locate(D.edges(spark, sf), D.nodes(spark, sf, missing)))
 
 
 # -- resolution, geometries ---------------------------------------------------
@@ -353,7 +353,7 @@ def f15_segmentize(spark, sf):
 @query()
 def f16_simplify(spark, sf):
     """F16: simplified lines."""
-    l = _lines(spark, sf).withColumn("geom", st.as_linestring("line"))
+    l = _lines(spark, sf, missing=False).withColumn("geom", st.as_linestring("line"))
     return l.select("way_id", st.n_points(st.simplify("geom", 20.0)).alias("n"))
 
 
@@ -374,8 +374,9 @@ def f17_pole(spark, sf):
 @query()
 def f14_line_merge(spark, sf):
     """members' lines merged, and their parts."""
-    pts = R.locate(D.edges(spark, sf), D.nodes(spark, sf))
-    m = R.members(D.members(spark, sf), D.nodes(spark, sf), pts, "w")
+    nodes = D.nodes(spark, sf, missing=False)
+    pts = R.locate(D.edges(spark, sf), nodes)
+    m = R.members(D.members(spark, sf), nodes, pts, "w")
     g = m.withColumn("geom", st.as_multilinestring(F.transform("members", lambda v: v["pts"]))).where("geom IS NOT NULL")
     return g.select("rel_id", st.num_geometries(st.line_merge("geom")).alias("n"), F.size(st.split_multi("geom")).alias("parts"), r6(st.length("geom")).alias("length"))
 
@@ -383,8 +384,9 @@ def f14_line_merge(spark, sf):
 @query()
 def g7_relation_geometries(spark, sf):
     """Points, multipoints, multipolygons and collections of relations."""
-    pts = R.locate(D.edges(spark, sf), D.nodes(spark, sf))
-    m = R.members(D.members(spark, sf), D.nodes(spark, sf), pts)
+    nodes = D.nodes(spark, sf, missing=False)
+    pts = R.locate(D.edges(spark, sf), nodes)
+    m = R.members(D.members(spark, sf), nodes, pts)
     of = lambda t: F.transform(F.filter("members", lambda v: v["type"] == t), lambda v: v["pts"])
     return m.select("rel_id", st.geometry_type(st.as_multipoint(F.flatten(of("n")))).alias("points"), st.geometry_type(st.as_multipolygon(of("w"))).alias("areas"), st.num_geometries(st.as_geometrycollection(F.transform("members", lambda v: v["pts"]))).alias("n"))
 
@@ -441,7 +443,7 @@ def h11_tile_boxes(spark, sf):
 
 
 def _mercator_line(spark, sf):
-    return _lines(spark, sf).select("way_id", F.transform("line", lambda p: F.struct(C.mercator_x(p["x"]).alias("x"), C.mercator_y(p["y"]).alias("y"))).alias("line"))
+    return _lines(spark, sf, missing=False).select("way_id", F.transform("line", lambda p: F.struct(C.mercator_x(p["x"]).alias("x"), C.mercator_y(p["y"]).alias("y"))).alias("line"))
 
 
 @query()

@@ -78,3 +78,14 @@ def test_unions_of_all_areas(spark, rings, name, extent, pad, buffer, parts):
                 whole |= G.open_close(drawn, buffer)
             want[tx, ty, grp] = whole[pad : pad + extent, pad : pad + extent].sum() * (width / extent) ** 2
     assert got == pytest.approx(want, abs=(4 if parts == 3 else 0.5) * (width / extent) ** 2)
+
+
+def test_lines_over_all_nodes(spark):
+    at = {r["id"]: (r["lon"], r["lat"]) for r in D.nodes(spark, SF, missing=False).collect()}
+    want = {}
+    for r in D.ways(spark, SF).collect():
+        pts = [at[n] for n in r["nodes"]]
+        pts = [p for k, p in enumerate(pts) if not k or p != pts[k - 1]]
+        if len(pts) > 1:
+            want[r["id"]] = len(S.simplify(S.Geom("LINESTRING", pts), 20.0).data)
+    assert {r["way_id"]: r["n"] for r in rows(spark, "f16_simplify")} == want
