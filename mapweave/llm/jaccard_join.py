@@ -247,12 +247,22 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     return out.select(F.col("doc_id").alias(id_col), cid.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id, one row of it. Rows with a null id stay."""
-    found = materialise(near_duplicates(docs, **options), "near")
-    kept = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = materialise(kept.withColumnRenamed("doc_id", "__keep"), "kept")
-    out = docs.join(kept.select("__keep"), docs["doc_id"] == F.col("__keep"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, text_col="text", **options) -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest doc_id. Rows with a null id stay.
+
+    Where ids repeat, every row is numbered in order of its id and joined as a
+    document of its own, so the texts that share an id are told apart. Of rows
+    without words, those that repeat id and text are one.
+    """
+    some = docs.where("doc_id IS NOT NULL")
+    if some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found, rows, key = near_duplicates(docs, text_col=text_col, **options), docs, "doc_id"
+    else:
+        order = some.withColumn("__hash", F.xxhash64(text_col)).repartitionByRange("doc_id", "__hash").sortWithinPartitions("doc_id", "__hash", text_col)
+        rows, key = materialise(order.drop("__hash").withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+        found = near_duplicates(rows, id_col=key, text_col=text_col, **options)
+    kept = materialise(found.where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__keep")), "kept")
+    out = rows.join(kept, rows[key] == F.col("__keep"), "left_semi")
+    if key == "__row":
+        out = out.drop(key).dropDuplicates(["doc_id", text_col])
     return out.unionByName(docs.where("doc_id IS NULL"))

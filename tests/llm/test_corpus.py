@@ -153,6 +153,15 @@ def test_jaccard_join_odd_rows(spark, docs):
     assert jaccard_join.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    words = LONG.split()[:24]
+    text = [" ".join(f"{w}{k}" for w in words * 3) for k in range(5)]
+    near = text[0].replace("kappa0", "word", 1)
+    rows = [(3, text[0]), (7, text[1]), (7, text[2]), (7, text[2]), (7, text[0]), (7, near), (8, text[3]), (9, text[3]), (8, ""), (8, ""), (None, text[0])]
+    got = jaccard_join.keep_one(frame(spark, rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, text[0]), (7, text[1]), (7, text[2]), (8, text[3]), (8, ""), (0, text[0])])
+
+
 def test_prefix_depth():
     assert jaccard_join.prefix_depth(0.8, 32, 0.9999) == 6
 
