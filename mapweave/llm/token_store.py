@@ -47,7 +47,8 @@ class PieceEncoder:
     lowered and cut into words here by the tokenizer's own pattern; in other texts
     so are the plain pieces between U+0020 and U+000A, and the other pieces go to
     the library whole. It merges new words many at a time, with marks between them,
-    without its normaliser.
+    without its normaliser. Texts that hold an added token's string, in any case,
+    go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = self.merger.encode_special_tokens = True
+        self.merger.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
         self.merger.normalizer = normalizers.Sequence([])
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = np.frombuffer(self._ids(self.merger, [MARK])[0], "<u4")
@@ -85,13 +88,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._cut(t or "") for t in texts]
+        whole = {k: t for k, t in enumerate(texts) if t and self.added(t)}
+        split = [() if k in whole else self._cut(t or "") for k, t in enumerate(texts)]
         words, old = self.words, self.old
         new = set().union(*split).difference(words)
         known = new.intersection(old)
         words.update(zip(known, map(old.__getitem__, known), strict=True))
         self._learn(list(new - known))
         out = [b"".join(map(words.__getitem__, ws)) for ws in split]
+        for k, ids in zip(whole, self._ids(self.tok, list(whole.values())) if whole else (), strict=True):
+            out[k] = ids
         if len(words) > CACHE // 2:
             self.words, self.old = {"": b""}, words
         return out

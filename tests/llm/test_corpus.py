@@ -71,6 +71,15 @@ def test_token_store_round_trip(spark, docs):
     assert token_store.token_digests(empty(spark), P.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_token_store_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, texts = Tokenizer.from_file(path), ["a <|endoftext|> b", "x<|startoftext|>y\n<|endoftext|>", "A <|ENDOFTEXT|> é́ b", "plain <| text |>", "", None, LONG]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    assert token_store.encoder(path).encode(texts) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_warc(spark):
     rows = [(1, "u1", "<p>same</p>"), (2, "u2", "<p>same</p>"), (3, None, None), (4, "u\n4", ""), (5, "u5", "é" * 9000), (None, "u6", "<p>same</p>"), (1, "u1", "<p>same</p>")]
     got = warc.round_trip(frame(spark, rows, "page_id long, url string, html string")).toPandas()
