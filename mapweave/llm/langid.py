@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, small_batches
 
-#: Texts that the prototypes are bundled from at most: those with the smallest md5 of the id.
+#: Texts that a language's prototype is bundled from at most: those with the smallest md5 of the id.
 SAMPLE = 8_000
 DIM = 1024
 _letters: dict[int, np.ndarray] = {}
@@ -87,15 +87,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Language to unit prototype, from at most ``sample`` texts with a language outside fold ``held``.
-
-    Whole texts are bundled with equal weight, then the mean of all prototypes is
-    taken off, so that what languages share does not count.
-    """
+    """Language to unit prototype, from at most ``sample`` ids of each language outside fold ``held``; whole texts are bundled with equal weight."""
     small_batches(docs.sparkSession, 128)
     use = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(crc_fold("doc_id", folds) != held)
-    ids = use.select(F.col("doc_id").alias("id")).distinct().orderBy(F.md5(F.col("id").cast("string"))).limit(sample)
-    rows = use.select("doc_id", "lang", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # sample rows at most
+    ids = use.select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
+    ids = ids.withColumn("k", F.expr("row_number() OVER (PARTITION BY of ORDER BY md5(CAST(id AS STRING)), id)")).where(F.col("k") <= sample).drop("k")
+    rows = use.select("doc_id", "lang", "text").join(ids, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -257,6 +257,11 @@ def test_language(spark):
     assert langid.predict(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(k, "abc fed cab", "x") for k in range(60)] + [(k, "mno qpm onm", "y") for k in range(60, 66)]
+    assert set(langid.train(frame(spark, rows, "doc_id long, text string, lang string"), sample=2)) == {"x", "y"}
+
+
 def test_fingerprints(spark, docs):
     rng = np.random.default_rng(6)
     rows = [(k, " ".join(f"t{int(v)}" for v in rng.zipf(1.3, 200) % 500), None, None, None, None, None) for k in range(100, 140)]
