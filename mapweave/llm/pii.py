@@ -24,7 +24,8 @@ from pyspark.sql.types import StructType
 from .common import materialise, small_batches
 
 #: Titles that mark a person's name, with the gender they tell ("" where they tell none).
-TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f"}
+TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f",
+          "Dr": "", "Doctor": "", "Doktor": "", "Prof": "", "Professor": "", "Rev": "", "Docteur": "", "Professeur": ""}
 GIVEN = {
     "m": ["Adam", "Anton", "Bruno", "Carlos", "Daniel", "Emil", "Felix", "Georg", "Henri", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Nils", "Oscar", "Paul", "Rafael", "Simon", "Victor"],
     "f": ["Ada", "Anna", "Berta", "Clara", "Diana", "Elena", "Flora", "Greta", "Helena", "Ines", "Julia", "Karin", "Laura", "Marta", "Nora", "Olga", "Paula", "Rosa", "Sofia", "Vera"],
@@ -42,27 +43,35 @@ DETECT = {
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), ""),
 }
-_AT_LEFT = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AT_RIGHT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z])")
 _SECRET_NAME = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential)s?[\"']?[ \t]*\Z", re.IGNORECASE)
 _SECRET = re.compile(r"[ \t]*([\"']?)([A-Za-z0-9+/_.~-]{12,})\1")
 _BARE = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]").search
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )([^\W\d_][^\W\d_'’-]+)(?:( )([^\W\d_][^\W\d_'’-]+))?")
+_NAME = re.compile(r"(?<!\w)(" + (_ANY := "|".join(sorted(TITLES, key=len, reverse=True))) + r")(\.? )(?!(?:" + _ANY + r")\.? )([^\W\d_][^\W\d_'’-]+)(?:( )([^\W\d_][^\W\d_'’-]+))?")
 #: What a text must hold for there to be any entity, as Spark SQL.
 MAYBE = "@|[0-9]|[=:]|" + "|".join(TITLES) + "|AKIA|gh[pousr]_|sk-|xox"
 
 
+def _back(text: str, at: int, chars) -> int:
+    """Where the run of ``chars`` that ends before ``at`` starts."""
+    while at and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins. A name's type tells the gender: name-m, name-f, name-."""
+    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins. A name's type tells the gender: name-m, name-f, name-. A name found behind a title is found wherever it stands again as a whole."""
     if not text:
         return []
     found = []
     at = text.find("@")
     while at >= 0:
-        left, right = _AT_LEFT.search(text, max(0, at - 64), at), _AT_RIGHT.match(text, at + 1)
-        if left and right:
-            found.append((left.start() + (len(left[0]) - len(left[0].lstrip(".-%+_"))), right.end(), "email"))
+        start = _back(text, at, _LOCAL)
+        right = _AT_RIGHT.match(text, at + 1) if start < at else None
+        if right:
+            found.append((at - len(text[start:at].lstrip(".-%+_")), right.end(), "email"))
         at = text.find("@", at + 1)
     for kind, (pattern, needs) in DETECT.items() if _DIGIT(text) else ():
         if not needs or any(c in text for c in needs):
@@ -70,15 +79,21 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     for sign in "=:":
         at = text.find(sign)
         while at >= 0:
-            if _SECRET_NAME.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)) and re.search(r"\d", m[2]):
+            if _SECRET_NAME.search(text, max(0, _back(text, at, " \t") - 24), at) and (m := _SECRET.match(text, at + 1)) and re.search(r"\d", m[2]):
                 found.append((*m.span(2), "secret"))
             at = text.find(sign, at + 1)
     if "AKIA" in text or "gh" in text or "sk-" in text or "xox" in text:
         found += [(*m.span(), "secret") for m in _BARE.finditer(text)]
+    names: dict[str, str] = {}
     for m in _NAME.finditer(text) if any(t in text for t in TITLES) else ():
         if m[3][0].isupper() and m[3][1:].islower():
             end = m.end() if m[5] and m[5][0].isupper() else m.end(3)
             found.append((m.start(3), end, "name-" + TITLES[m[1]]))
+            names.setdefault(text[m.start(3) : end], found[-1][2])
+    if names:  # further mentions, without a title
+        titled = {x[0] for x in found if x[2].startswith("name")}
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
+        found += [(*m.span(), names[m[0]]) for m in again.finditer(text) if m.start() not in titled]
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
     for x in found:

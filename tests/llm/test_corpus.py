@@ -183,6 +183,15 @@ def test_detect(text, kinds):
     assert [k for _, _, k in pii.detect(text)] == kinds
 
 
+@pytest.mark.parametrize("text, found", [
+    ("Ask Dr. Anna Smith or Prof. Weber", [("Anna Smith", "name-"), ("Weber", "name-")]), ("Prof. Dr. Anna Smith", [("Anna Smith", "name-")]),
+    ("Mrs. Anna Smith came. Anna Smith said, Annabel", [("Anna Smith", "name-f")] * 2), ("a" * 90 + "@mail.example.com", [("a" * 90 + "@mail.example.com", "email")]),
+    ("token" + " " * 40 + "= b44e15e09fd311c3cf31", [("b44e15e09fd311c3cf31", "secret")])])
+def test_detect_whole_runs_and_mentions(text, found):
+    assert [(text[a:b], k) for a, b, k in pii.detect(text)] == found
+    assert not any(e in pii.replace(text, pii.Surrogates(b"k"))[0] for e, _ in found)
+
+
 def test_surrogates_keep_shape_and_differ():
     make = pii.Surrogates(b"k")
     for kind, values in {"phone": [f"+1 ({k:03d}) 555-1234" for k in range(400)], "ip": [f"10.0.{k}.7" for k in range(200)], "email": [f"a{k}.b@mail.example.com" for k in range(300)],
