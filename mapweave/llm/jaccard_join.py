@@ -1,12 +1,12 @@
-"""Near-duplicate documents: a MinHash LSH forest over word shingles, then exact verification.
+"""Near-duplicate documents: banded MinHash LSH over word shingles, then exact verification.
 
 1. A pass over the texts gives each document the hash of its words and, for each
-   tree of the forest, the prefix of its label of min-hashes. Matched prefixes are
-   shortened from ``max_depth`` until pairs at the threshold meet in some tree with
-   the wanted probability.
-2. Documents with the same words become one class. Classes that share a prefix
-   (a node of a tree's sorted trie) are candidates; groups of candidates are found
-   as components over a star for each node.
+   tree (band), one key of ``depth`` min-hashes. The depth is fixed beforehand: the
+   largest at which pairs at the threshold meet in some tree with the wanted
+   probability. No longer labels are kept, and no trie is walked.
+2. Documents with the same words become one class. Classes that share a key are
+   candidates; groups of candidates are found as components over a star for each
+   key.
 3. The texts of classes with candidates are read again, sorted by group and packed
    into blocks of shingle sets. Blocks that share a node form tiles. A tile counts
    the common shingles of its candidate pairs exactly and returns link counts and
