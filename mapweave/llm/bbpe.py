@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -26,13 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, small_batches
+from .common import Recent, keep, small_batches
 
-#: What is remembered of each kind at most; beyond it, it is forgotten and made anew.
-STATES, PIECES = 300_000, 1_600_000
-#: White space beside a space or at an end.
-EDGE = re.compile(r" \s|\s |^\s|\s\Z").search
-_coders: dict[tuple, ByteBpe] = {}
+#: What is remembered at most; beyond it, it is forgotten and made anew: moves between states (some 250 bytes each,
+#: states included), states after the first bytes of a piece (some 230 bytes each), bytes of pieces and their ids.
+MOVES, HEADS, PIECES = 300_000, 150_000, 96 << 20
+#: Patterns of which ``encode`` and ``chunk`` know that they cut at white space before a run, and cut words of ASCII
+#: letters at no other place. Texts go through any other pattern as a whole.
+SPACED = ("'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+",)
+#: A hypothesis is one number: the last token plus one above these bits, the place in the trie below.
+NODE = (1 << 32) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,9 +48,10 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.spaced = pattern in SPACED
         # A token that the merges never make can't end a hypothesis, only stand for a whole piece.
-        self.trie_next: list[dict[int, int]] = [{}]
-        self.trie_token: list[int] = [-1]
+        self.trie: dict[int, int] = {}  # place << 8 | byte: next place
+        self.trie_token, self.depth, self.inner = [-1], [0], bytearray(b"\1")
         self.parts: dict[int, tuple[int, int]] = {}  # of a token: the two that its last merge joined
         for b, i in ranks.items():
             two = self.merge(b, 2)
@@ -57,14 +60,19 @@ class ByteBpe:
             if len(b) == 1 or len(two) == 2:
                 at = 0
                 for c in b:
-                    if c not in self.trie_next[at]:
-                        self.trie_next[at][c] = len(self.trie_next)
-                        self.trie_next.append({})
+                    to = self.trie.get(at << 8 | c)
+                    if to is None:
+                        to = self.trie[at << 8 | c] = len(self.depth)
+                        self.inner[at] = 1
+                        self.inner.append(0)
                         self.trie_token.append(-1)
-                    at = self.trie_next[at][c]
+                        self.depth.append(self.depth[at] + 1)
+                    at = to
                 self.trie_token[at] = i
-        self.words = Recent(PIECES // 2, self.piece)
-        self.pieces = Recent(PIECES // 2, self.chunk)
+        self.length = [0] * (max(self.bytes_of) + 2)  # of a token, by its number plus one
+        for i, b in self.bytes_of.items():
+            self.length[i + 1] = len(b)
+        self.pieces = Recent(PIECES, self.chunk)
         self.forget()
         self.moves: dict[tuple[bytes, int], tuple[bytes, str]] = {}
         # The moves from the state without unfinished bytes back to it; None: others.
@@ -110,56 +118,60 @@ class ByteBpe:
             else:
                 return True
 
-    # The encoder. A state is a tuple of (last token, trie node, bytes since it began), longest first.
+    # The encoder. A state is a tuple of hypotheses, the longest first.
     def forget(self) -> None:
-        self.states = [((-1, 0, 0),)]
+        self.states = [(0,)]
         self.number = {self.states[0]: 0}
-        self.step: dict[int, tuple[int, int, int]] = {}
-        self.heads: dict[bytes, tuple[int, list[int]]] = {}  # where the first 8 bytes of a piece lead
-
-    def move(self, state: int, byte: int) -> tuple[int, int, int]:
-        """(next state, token that ends here, bytes back to which all hypotheses agree)."""
-        live, last = [], -1
-        for prev, node, depth in self.states[state]:
-            to = self.trie_next[node].get(byte)
+        self.step: dict[int, int] = {}
+        self.heads: dict[bytes, tuple[int, ...]] = {}  # where the first 8 bytes of a piece lead: the tail, then the state
+
+    def move(self, state: int, byte: int) -> int:
+        """next state << 40 | token that ends here, plus one (0: none) << 16 | bytes back to which all hypotheses agree, plus one (0: they don't)."""
+        live, last = [], 0
+        for h in self.states[state]:
+            to = self.trie.get((h & NODE) << 8 | byte)
             if to is None:
                 continue
-            if self.trie_next[to]:
-                live.append((prev, to, depth + 1))
+            if self.inner[to]:
+                live.append(h & ~NODE | to)
             token = self.trie_token[to]
-            if last < 0 and token >= 0 and self.sound(prev, token):
-                last = token
-        if last < 0 and not live:
+            if not last and token >= 0 and self.sound((h >> 32) - 1, token):
+                last = token + 1
+        if not last and not live:
             raise ValueError("a byte is missing from the ranks")
-        if last >= 0:
-            live.append((last, 0, 0))
+        if last:
+            live.append(last << 32)
         key = tuple(live)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        got = self.step[state << 8 | byte] = (number, last, live[0][2] if len(live) == 1 else -1)
+        got = self.step[state << 8 | byte] = number << 40 | last << 16 | (self.depth[live[0] & NODE] + 1 if len(live) == 1 else 0)
         return got
 
     def transduce(self, data: Iterable[int]) -> Iterator[int]:
         """Tokens of a stream of bytes, emitted after bounded lookahead."""
-        state, tail = 0, []  # tail: the token that ends after each byte since the last emission
+        state, tail = 0, []  # tail: the token that ends after each byte since the last emission, plus one
         for byte in data:
-            state, last, back = self.step.get(state << 8 | byte) or self.move(state, byte)
-            tail.append(last)
+            got = self.step.get(state << 8 | byte) or self.move(state, byte)
+            state, back = got >> 40, (got & 0xFFFF) - 1
+            tail.append(got >> 16 & 0xFFFFFF)
             if back >= 0 and len(tail) > back + 64:
                 yield from self._walk(tail[: len(tail) - back])
                 del tail[: len(tail) - back]
+                if len(self.step) > MOVES:
+                    live = self.states[state]
+                    self.forget()
+                    state = self.number[live] = len(self.states)
+                    self.states.append(live)
         yield from self._walk(tail)
-        if len(self.states) > STATES:
-            self.forget()
 
     def _walk(self, tail: list[int]) -> list[int]:
-        out, at = [], len(tail)
+        out, at, length = [], len(tail), self.length
         while at:
             token = tail[at - 1]
-            out.append(token)
-            at -= len(self.bytes_of[token])
+            out.append(token - 1)
+            at -= length[token]
         return out[::-1]
 
     def piece(self, text: str) -> bytes:
@@ -171,33 +183,37 @@ class ByteBpe:
         elif len(data) > 256:
             out = list(self.transduce(data))
         else:
+            if len(self.step) > MOVES or len(self.heads) > HEADS:
+                self.forget()
             step, move = self.step.get, self.move
             head = self.heads.get(data[:8])
             if head is None:
                 state, tail = 0, []
                 for byte in data[:8]:
-                    state, last, _ = step(state << 8 | byte) or move(state, byte)
-                    tail.append(last)
-                self.heads[data[:8]] = state, tail.copy()
+                    got = step(state << 8 | byte) or move(state, byte)
+                    state = got >> 40
+                    tail.append(got >> 16 & 0xFFFFFF)
+                self.heads[data[:8]] = (*tail, state)
             else:
-                state, tail = head[0], head[1].copy()
+                tail = list(head)
+                state = tail.pop()
             for byte in data[8:]:
-                state, last, _ = step(state << 8 | byte) or move(state, byte)
-                tail.append(last)
+                got = step(state << 8 | byte) or move(state, byte)
+                state = got >> 40
+                tail.append(got >> 16 & 0xFFFFFF)
             out = self._walk(tail)
-            if len(self.states) > STATES or len(self.heads) > STATES:
-                self.forget()
         return struct.pack(f"<{len(out)}I", *out)
 
     def chunk(self, text: str) -> bytes:
-        """The ids of a run without white space, with its leading space."""
-        words, body = self.words, text[1:]
+        """The ids of a run without white space at its end, with its leading space."""
         if text.isascii() and text[:1] == " " and len(text) > 2:  # plain words, as the pattern would cut them
+            body = text[1:]
             if body.isalpha():
-                return words[text]
+                return self.piece(text)
             if body[:-1].isalpha() and body[-1] in ".,;:!?":
-                return words[text[:-1]] + words[text[-1]]
-        return b"".join(map(words.__getitem__, self.split(text)))
+                return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        cut = self.split(text)
+        return self.piece(text) if len(cut) == 1 else b"".join(map(self.pieces.__getitem__, cut))
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids. Null is empty.
@@ -208,9 +224,11 @@ class ByteBpe:
         """
         if not text:
             return b""
-        parts = text.split(" ")
         known, out, k = self.pieces, [], 0
-        if not EDGE(text):
+        if not self.spaced:
+            return b"".join(map(self.piece, self.split(text)))
+        parts = text.split(" ")
+        if "" not in parts and " ".join(map(str.strip, parts)) == text:
             return known[parts[0]] + b"".join([known[" " + p] for p in parts[1:]])
         while k < len(parts):
             p, j = parts[k], k + 1
@@ -223,14 +241,17 @@ class ByteBpe:
         return b"".join(out)
 
     # The decoder.
+    def decode_move(self, state: bytes, token: int) -> tuple[bytes, str]:
+        if len(self.moves) > HEADS:
+            self.moves.clear()
+        got = self.moves[state, token] = utf8_move(state, self.bytes_of[token])
+        return got
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as soon as it is complete; bytes that are no UTF-8 become U+FFFD."""
         state = b""
         for i in ids:
-            move = self.moves.get((state, i))
-            if move is None:
-                move = self.moves[state, i] = utf8_move(state, self.bytes_of[i])
-            state, text = move
+            state, text = self.moves.get((state, i)) or self.decode_move(state, i)
             yield text
         if state:
             yield "�"
@@ -243,11 +264,8 @@ class ByteBpe:
             k = out.index(None, k + 1)
             state = b""
             while k < len(ids):
-                move = self.moves.get((state, ids[k]))
-                if move is None:
-                    move = self.moves[state, ids[k]] = utf8_move(state, self.bytes_of[ids[k]])
                 left -= out[k] is None
-                state, out[k] = move
+                state, out[k] = self.moves.get((state, ids[k])) or self.decode_move(state, ids[k])
                 if not state:
                     break
                 k += 1
@@ -289,14 +307,14 @@ def utf8_move(state: bytes, more: bytes) -> tuple[bytes, str]:
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
-    key = (path, pattern)
-    if key not in _coders:
-        _coders[key] = ByteBpe(load_ranks(path), pattern)
-    return _coders[key]
+    return keep(("bbpe", path, pattern), lambda: ByteBpe(load_ranks(path), pattern))
 
 
 def encode_column(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", out_col="ids") -> DataFrame:
-    """``docs`` with the ids of its whole texts in ``out_col`` (null text: no ids); a column of that name is replaced."""
+    """``docs`` with the ids of its whole texts in ``out_col`` (null text: no ids); a column of that name is replaced.
+
+    Repeated rows each have their ids; texts are encoded whole, however long, in memory in proportion to them; no rows: no rows.
+    """
     small_batches(docs.sparkSession, 256)
     docs = docs.drop(out_col) if out_col in docs.columns and out_col != text_col else docs
 
@@ -312,7 +330,9 @@ def encode_column(docs: DataFrame, vocabulary: str, pattern: str, text_col="text
 
 
 def decode_column(rows: DataFrame, vocabulary: str, pattern: str, ids_col="ids", out_col="decoded") -> DataFrame:
-    """``rows`` with the text that the ids of ``ids_col`` stand for."""
+    """``rows`` with the text that the ids of ``ids_col`` stand for (null: empty); a column of that name is replaced. No rows: no rows."""
+    rows = rows.drop(out_col) if out_col in rows.columns and out_col != ids_col else rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary, pattern)
         for b in batches:
