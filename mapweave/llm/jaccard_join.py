@@ -1,13 +1,21 @@
-"""Near-duplicate documents: banded MinHash LSH over word shingles, then exact verification.
-
-1. A pass over the texts gives each document the hash of its words and, for each
-   tree (band), one key of ``depth`` min-hashes. The depth is fixed beforehand: the
-   largest at which pairs at the threshold meet in some tree with the wanted
-   probability. No longer labels are kept, and no trie is walked.
-2. Documents with the same words become one class. Classes that share a key are
-   candidates; groups of candidates are found as components over a star for each
-   key.
-3. The texts of classes with candidates are read again, sorted by group and packed
+"""Near-duplicate documents: a MinHash LSH forest over word shingles, then exact verification.
+
+1. A pass over the texts gives each document the hash of its words and its labels:
+   in each tree a sequence of min-hashes, as long as the longest prefix (``max_depth``).
+   Documents with the same words become one class.
+2. The forest is the classes' labels, sorted by tree and label, so that a tree's trie
+   lies in order: classes below one node are neighbours. Comparing neighbours gives
+   the longest prefix that each class shares with any other; those that share less
+   than the shortest prefix ever used are alone in that tree and go.
+3. Matched prefixes start at full length and are shortened until the expected recall
+   of pairs at or above the threshold reaches the target. The expectation comes from
+   the data: the pairs that meet at full length, each with the similarity that all
+   its min-hashes tell, weighted by the inverse of its chance to meet there. Where
+   nothing meets, and in any case at last, stands the length at which even pairs
+   right at the threshold are found with the target probability.
+4. Classes below one node at that length are candidates; groups of candidates are
+   found as components over a star for each node.
+5. The texts of classes with candidates are read again, sorted by group and packed
    into blocks of shingle sets. Blocks that share a node form tiles. A tile counts
    the common shingles of its candidate pairs exactly and returns link counts and
    a spanning forest, so a group of thousands of near copies never becomes pairs.
@@ -28,17 +36,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, materialise, small_batches
+from .common import Recent, keep, materialise, small_batches
 from .components import connected_components
 from .groups import roots
 
-SIG = "doc_id long, k1 long, k2 long, n int, prefixes array<long>"
+SIG = "doc_id long, k1 long, k2 long, n int, labels binary"
+TREES = "tree int, label binary, rep long"
 BLOCK = "block long, reps array<long>, copies array<long>, sizes array<int>, hashes binary, prefixes binary"
 LINKS = "a long, b long, add long"
 WORDS = re.compile(r"\w+")
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-=+/"
 hash_word = xxhash.xxh3_64_digest
-CACHE = 400_000
+#: Bytes of words and their hashes that a worker remembers.
+CACHE = 48 << 20
 
 
 def _hash_words(piece: str) -> bytes:
@@ -48,11 +58,9 @@ def _hash_words(piece: str) -> bytes:
     return hash_word(bare.encode()) if bare.isalnum() else b"".join(hash_word(w.encode()) for w in WORDS.findall(low))
 
 
-_words = Recent(CACHE, _hash_words)
-
-
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_words.__getitem__, (text or "").split())), "<u8")
+    words = keep("jaccard_join", lambda: Recent(CACHE, _hash_words))
+    return np.frombuffer(b"".join(map(words.__getitem__, (text or "").split())), "<u8")
 
 
 def shingles(w: np.ndarray, width: int = 5) -> np.ndarray:
@@ -68,16 +76,21 @@ def shingles(w: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def prefix_depth(threshold: float, trees: int, recall: float, max_depth: int = 12) -> int:
-    """The longest prefix at which pairs at the threshold still meet in a tree with probability ``recall``."""
+def found(similarity, depth: int, trees: int):
+    """The probability that a pair of this similarity shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(threshold: float, trees: int, recall: float, max_depth: int) -> int:
+    """The longest prefix at which pairs right at the threshold still meet with probability ``recall``."""
     for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+        if found(threshold, depth, trees) >= recall:
             return depth
     raise ValueError("no prefix reaches this recall; plant more trees")
 
 
 class Forest:
-    """Label prefixes of shingle sets. Permutations x -> a x + b mod 2**32 are drawn from a fixed seed."""
+    """Labels of shingle sets: 16 bits of each min-hash. Permutations x -> a x + b mod 2**32 are drawn from a fixed seed."""
 
     def __init__(self, trees: int, depth: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -85,15 +98,21 @@ class Forest:
         self.a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
 
-    def prefixes(self, s: np.ndarray) -> np.ndarray:
+    def labels(self, s: np.ndarray) -> bytes:
+        """Tree after tree, each min-hash as two bytes."""
         x = (s >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         with np.errstate(over="ignore"):
             for k in range(0, len(x), 1024):
                 np.minimum(low, (self.a[:, None] * x[k : k + 1024] + self.b[:, None]).min(axis=1), out=low)
-            label = low.reshape(self.trees, self.depth).astype(np.uint64)
-            h = np.arange(1, self.trees + 1, dtype=np.uint64)
-            for k in range(self.depth):
+        return low.astype("<u2").tobytes()
+
+    def nodes(self, labels: bytes, depth: int) -> np.ndarray:
+        """A hash of each tree's node at a depth."""
+        label = np.frombuffer(labels, "<u2").reshape(self.trees, self.depth).astype(np.uint64)
+        h = np.arange(1, self.trees + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(depth):
                 h = (h ^ label[:, k]) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
         return h.view(np.int64)
@@ -102,7 +121,7 @@ class Forest:
 def _signatures(docs: DataFrame, forest: Forest, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, n, pre = [], [], [], []
+            k1, k2, n, labels = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = word_hashes(t)
                 d = np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), "<i8")
@@ -110,16 +129,78 @@ def _signatures(docs: DataFrame, forest: Forest, width: int) -> DataFrame:
                 k1.append(d[0])
                 k2.append(d[1])
                 n.append(len(s))
-                if len(s):
-                    pre.append(forest.prefixes(s))
-            edges = np.concatenate([[0], np.cumsum([forest.trees * bool(x) for x in n])]).astype(np.int32)
-            flat = np.concatenate(pre) if pre else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc_id", "k1", "k2", "n", "prefixes"])
+                labels.append(forest.labels(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(labels, pa.binary())], names=["doc_id", "k1", "k2", "n", "labels"])
 
     return docs.mapInArrow(run, SIG)
 
 
-def _pack(rows: DataFrame, width: int, trees: int, max_docs: int, max_shingles: int) -> DataFrame:
+def _tries(classes: DataFrame, forest: Forest, least: int) -> DataFrame:
+    """(tree, label, rep), sorted, of the labels that share ``least`` min-hashes or more with a neighbour.
+
+    Ranges are drawn over (tree, label, rep), so one with very many classes can be
+    split. The first and the last node of each range stay whatever they share,
+    because their neighbours may lie in another range.
+    """
+    size = 2 * forest.depth
+    rows = classes.select("rep", "labels", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    rows = rows.select("tree", F.expr(f"substring(labels, tree * {size} + 1, {size})").alias("label"), "rep")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def labels(b):
+            raw = np.frombuffer(b"".join(b.column("label").to_pylist()), "<u2").reshape(-1, forest.depth)[:, :least]
+            return np.concatenate([np.asarray(b.column("tree"))[:, None], raw], axis=1)
+
+        held, first, last, alike = None, None, None, False  # the row not yet decided on; whether it is like the one before it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = labels(b)
+            first = x[0] if first is None else first
+            up = np.concatenate([[last is not None and bool((x[0] == last).all())], (x[1:] == x[:-1]).all(axis=1)])
+            if held is not None and (alike or up[0] or (last == first).all()):
+                yield held
+            keep_it = (up | np.append(up[1:], False) | (x == first).all(axis=1))[:-1]
+            if keep_it.any():
+                yield b.slice(0, b.num_rows - 1).filter(pa.array(keep_it))
+            held, last, alike = b.slice(b.num_rows - 1), x[-1], bool(up[-1])
+        if held is not None:
+            yield held
+
+    return rows.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep").mapInArrow(shared, TREES)
+
+
+def _stars(tries: DataFrame, depth: int) -> DataFrame:
+    """(node, rep, least): classes below a node at this depth, and the least of them; nodes of one class are left out."""
+    nodes = tries.select(F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * depth})")).alias("node"), "rep")
+    full = nodes.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select(F.col("node").alias("node2"), "least")
+    return nodes.join(full, F.col("node") == F.col("node2")).select("node", "rep", "least")
+
+
+def expected_recall(classes: DataFrame, pairs: DataFrame, forest: Forest, threshold: float, depths: list[int]) -> dict[int, float]:
+    """Of the pairs at or above the threshold, the share that each depth is expected to find.
+
+    ``pairs`` (a, b) are classes that meet at full depth. A pair of similarity s,
+    told by all min-hashes, stands for 1 / found(s, full depth) pairs like it.
+    No such pair: no expectation.
+    """
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + len(depths))
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("la", "lb"))
+            s = (x == y).mean(axis=1)
+            s = s[s >= threshold]
+            weight = 1 / found(s, forest.depth, forest.trees)
+            total += [weight.sum(), *((weight * found(s, d, forest.trees)).sum() for d in depths)]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["w"])
+
+    side = lambda k: classes.select(F.col("rep").alias(f"r{k}"), F.col("labels").alias(f"l{k}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("ra")).join(side("b"), F.col("b") == F.col("rb")).select("la", "lb")
+    got = both.mapInArrow(weigh, "w array<double>").agg(*[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(1 + len(depths))]).first()
+    return {d: got[k + 1] / got[0] for k, d in enumerate(depths)} if got[0] else {}
+
+
+def _pack(rows: DataFrame, width: int, forest: Forest, depth: int, max_docs: int, max_shingles: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, last = TaskContext.get().partitionId(), 0, None
         reps, copies, sets, pre, total = [], [], [], [], 0
@@ -133,7 +214,7 @@ def _pack(rows: DataFrame, width: int, trees: int, max_docs: int, max_shingles:
             return batch
 
         for b in batches:
-            for rep, k1, k2, n, p, text in zip(*(b.column(c).to_pylist() for c in ("rep", "k1", "k2", "copies", "prefixes", "text")), strict=True):
+            for rep, k1, k2, n, p, text in zip(*(b.column(c).to_pylist() for c in ("rep", "k1", "k2", "copies", "labels", "text")), strict=True):
                 w = word_hashes(text)
                 if (rep, k1, k2) == last or tuple(np.frombuffer(xxhash.xxh3_128_digest(w.tobytes()), "<i8")) != (k1, k2):
                     continue  # a repeated row, or another text under the same id
@@ -143,7 +224,7 @@ def _pack(rows: DataFrame, width: int, trees: int, max_docs: int, max_shingles:
                 reps.append(rep)
                 copies.append(n)
                 sets.append(s)
-                pre.append(np.array(p, "<i8"))
+                pre.append(forest.nodes(p, depth))
                 total += len(s)
         if reps:
             yield out()
@@ -192,7 +273,7 @@ def _verify(a, b, threshold: float) -> pa.RecordBatch:
         pa.array(np.concatenate([add[some], add[child]]), pa.int64(), mask=~first)], names=["a", "b", "add"])
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8, width=5, trees=32, recall=0.9999, max_docs=256, max_shingles=200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold=0.8, width=5, trees=32, max_depth=9, recall=0.9999, max_docs=256, max_shingles=200_000) -> DataFrame:
     """(doc_id, component_id, n_links, class_id, copies, kept) for each row of ``docs``.
 
     ``class_id`` is the smallest id with the same words, ``copies`` their number,
@@ -200,23 +281,28 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     ``component_id`` the smallest id reachable. Texts without words (null, empty,
     punctuation) and rows with a null id link with nothing. Rows that repeat an id
     with the same words are copies; an id with several texts stands for them all.
-    Every linked pair has a Jaccard similarity of ``threshold`` or more; of the
-    pairs at the threshold, ``recall`` are expected to be found, of closer ones more.
+    Every linked pair has a Jaccard similarity of ``threshold`` or more; of all such
+    pairs, ``recall`` or more are expected to be found. No rows: no rows.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    forest = Forest(trees, prefix_depth(threshold, trees, recall))
+    forest, least = Forest(trees, max_depth), least_depth(threshold, trees, recall, max_depth)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialise(_signatures(rows, forest, width), "signatures")
     real = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes")), "classes")
-    nodes = classes.select("rep", F.explode("prefixes").alias("node"))
-    full = nodes.groupBy("node").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select(F.col("node").alias("node2"), "least")
-    members = materialise(nodes.join(full, F.col("node") == F.col("node2")).select("node", "rep", "least"), "members")
+    classes = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")), "classes")
+    small_batches(spark, 8192)
+    tries = materialise(_tries(classes, forest, least), "tries")
+    small_batches(spark, 1024)
+    met = _stars(tries, max_depth).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    share = expected_recall(classes, met, forest, threshold, list(range(max_depth, least, -1)))
+    depth = next((d for d, x in share.items() if x >= recall), least)
+    small_batches(spark, 256)
+    members = materialise(_stars(tries, depth), "members")
     group = connected_components(members.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    active = classes.join(group, F.col("rep") == F.col("id")).select("rep", "k1", "k2", "copies", "prefixes", F.col("component").alias("grp"))
+    active = classes.join(group, F.col("rep") == F.col("id")).select("rep", "k1", "k2", "copies", "labels", F.col("component").alias("grp"))
     texts = active.join(rows, F.col("rep") == F.col("doc_id")).drop("doc_id")
-    blocks = materialise(_pack(texts.repartitionByRange("grp", "rep").sortWithinPartitions("grp", "rep", "k1", "k2"), width, trees, max_docs, max_shingles), "blocks")
+    blocks = materialise(_pack(texts.repartitionByRange("grp", "rep").sortWithinPartitions("grp", "rep", "k1", "k2"), width, forest, depth, max_docs, max_shingles), "blocks")
     place = blocks.select("block", F.explode("reps").alias("rep2"))
     held = members.join(place, F.col("rep") == F.col("rep2")).select("node", "block").distinct()
     tiles = held.toDF("node", "ti").join(held.toDF("node", "tj"), "node").where("ti < tj").select("ti", "tj").distinct()
