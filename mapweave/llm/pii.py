@@ -3,10 +3,12 @@
 Every surrogate is a keyed permutation of the strings of the entity's own shape
 (a Feistel network over a mixed radix, walked until the shape's rules hold), so
 distinct entities of a shape keep distinct surrogates and the same entity has
-the same one everywhere. Given names come from lists by gender, where two
-entities can meet; the distinct entities of the corpus are therefore gathered,
-their surrogates compared, and all but the first of those that meet get another
-attempt, until none meet.
+the same one everywhere, in whatever format: phone numbers are permuted by their
+country code and national digits. Given and family names are entities of their
+own, so a name and its parts stay together. Given names come from lists by
+gender, where two entities can meet; the distinct entities of the corpus are
+therefore gathered, their surrogates compared, and all but the first of those
+that meet get another attempt, until none meet.
 """
 
 from __future__ import annotations
@@ -49,9 +51,16 @@ _SECRET_NAME = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|apik
 _SECRET = re.compile(r"[ \t]*([\"']?)([A-Za-z0-9+/_.~-]{12,})\1")
 _BARE = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]").search
-_NAME = re.compile(r"(?<!\w)(" + (_ANY := "|".join(sorted(TITLES, key=len, reverse=True))) + r")(\.? )(?!(?:" + _ANY + r")\.? )([^\W\d_][^\W\d_'’-]+)(?:( )([^\W\d_][^\W\d_'’-]+))?")
+_WORD = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*"
+_ANY = "|".join(sorted(TITLES, key=len, reverse=True))
+_TITLED = re.compile(rf"(?<!\w)({_ANY})(\.? )(?!(?:{_ANY})\.? )({_WORD})(?: ({_WORD}))?(?!\w)")
+#: The gender that a listed given name tells.
+GENDER = {n: g for g, names in GIVEN.items() for n in names}
+_UNTITLED = re.compile(rf"(?<![\w'’-])({'|'.join(sorted(GENDER))}) ({_WORD})(?!\w)")
+#: Country calling codes of one and two digits; the others have three.
+CALLING = {"1", "7", *map(str, (20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98))}
 #: What a text must hold for there to be any entity, as Spark SQL.
-MAYBE = "@|[0-9]|[=:]|" + "|".join(TITLES) + "|AKIA|gh[pousr]_|sk-|xox"
+MAYBE = "@|[0-9]|[=:]|" + "|".join([*TITLES, *GENDER]) + "|AKIA|gh[pousr]_|sk-|xox"
 
 
 def _back(text: str, at: int, chars) -> int:
@@ -61,8 +70,45 @@ def _back(text: str, at: int, chars) -> int:
     return at
 
 
+def _capital(word: str | None) -> bool:
+    """Whether each part of a name begins with a capital and goes on without."""
+    return bool(word) and all(p[:1].isupper() and p[1:].islower() for p in re.split("[-'’]", word))
+
+
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Given names (given-m, given-f, given-) and family names in a text: behind a title, or a listed given name before
+    another capitalised word; and each of these names wherever it stands again as a whole word.
+
+    A single word behind a title is a given name if it is one elsewhere in the text
+    or in the lists, else a family name.
+    """
+    found, single, known = [], [], {}
+    for m in _TITLED.finditer(text) if any(t in text for t in TITLES) else ():
+        if not _capital(m[3]):
+            continue
+        if _capital(m[4]) and m[4] not in TITLES:
+            found += [(*m.span(3), "given-" + (TITLES[m[1]] or GENDER.get(m[3], ""))), (*m.span(4), "family")]
+        else:
+            single.append((*m.span(3), TITLES[m[1]]))
+    taken = {x[0] for x in found} | {x[0] for x in single}
+    for m in _UNTITLED.finditer(text):
+        if m.start() not in taken and _capital(m[2]) and m[2] not in TITLES and m[2] != m[1]:
+            found += [(*m.span(1), "given-" + GENDER[m[1]]), (*m.span(2), "family")]
+    for x, y, kind in found:
+        known.setdefault(text[x:y], kind)
+    for x, y, gender in single:
+        word = text[x:y]
+        known.setdefault(word, "given-" + (gender or GENDER[word]) if word in GENDER else "family")
+        found.append((x, y, known[word]))
+    if known:
+        again = re.compile(r"(?<![\w])(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)")
+        at = {x[0] for x in found}
+        found += [(*m.span(), known[m[0]]) for m in again.finditer(text) if m.start() not in at]
+    return [(x, y, known[text[x:y]]) for x, y, _ in found]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins. A name's type tells the gender: name-m, name-f, name-. A name found behind a title is found wherever it stands again as a whole."""
+    """(start, end, type) of the entities in a whole text, in order, none overlapping: the first, then the longer one, wins."""
     if not text:
         return []
     found = []
@@ -84,16 +130,10 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
             at = text.find(sign, at + 1)
     if "AKIA" in text or "gh" in text or "sk-" in text or "xox" in text:
         found += [(*m.span(), "secret") for m in _BARE.finditer(text)]
-    names: dict[str, str] = {}
-    for m in _NAME.finditer(text) if any(t in text for t in TITLES) else ():
-        if m[3][0].isupper() and m[3][1:].islower():
-            end = m.end() if m[5] and m[5][0].isupper() else m.end(3)
-            found.append((m.start(3), end, "name-" + TITLES[m[1]]))
-            names.setdefault(text[m.start(3) : end], found[-1][2])
-    if names:  # further mentions, without a title
-        titled = {x[0] for x in found if x[2].startswith("name")}
-        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
-        found += [(*m.span(), names[m[0]]) for m in again.finditer(text) if m.start() not in titled]
+    found += _names(text)
+    numbers = {_national(text[x:y])[1] for x, y, k in found if k == "phone"}
+    if numbers:  # the same numbers, bare
+        found += [(*m.span(), "phone") for m in re.finditer(r"(?<![\w.+-])\d{7,15}(?![\w.-]*\d)", text) if m[0] in numbers]
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
     for x in found:
@@ -103,6 +143,15 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def _national(phone: str) -> tuple[str, str]:
+    """(country code, national digits); ten digits without a code belong to code 1."""
+    digits = "".join(filter(str.isdigit, phone))
+    if not phone.startswith("+"):
+        return ("1" if len(digits) == 10 else "", digits)
+    size = next((n for n in (1, 2) if digits[:n] in CALLING), 3)
+    return digits[:size], digits[size:]
+
+
 class Surrogates:
     """Keyed surrogates. ``attempt`` above 0 gives another one, where two entities met."""
 
@@ -166,9 +215,10 @@ class Surrogates:
         return f"{self.shaped(local, f'local{attempt}')}@{self.shaped(body, 'domain')}{dot}{top}"
 
     def phone(self, text: str, attempt: int) -> str:
-        m = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-        head = m[0] if m else ""
-        return head + self._digits(text[len(head):], f"phone{head}|{attempt}")
+        """The country code stays; the national digits are permuted, whatever the format."""
+        code, national = _national(text)
+        new = iter((code if text.startswith("+") else "") + self.shaped(national, f"phone{code}|{attempt}"))
+        return "".join(next(new) if c.isdigit() else c for c in text)
 
     def ssn(self, text: str, attempt: int) -> str:
         return self._digits(text, f"ssn{attempt}")
@@ -181,23 +231,28 @@ class Surrogates:
         return "".join(next(new) if c.isdigit() else c for c in text)
 
     def ip(self, text: str, attempt: int) -> str:
-        """Private addresses stay private, others that are in common use stay so."""
-        value = kind = None
+        """Addresses of special ranges keep the range's bits, others stay outside these ranges."""
+        value = int.from_bytes(bytes(map(int, text.split("."))), "big")
+        fixed = _ip_fixed(value)
         for _ in range(1 + attempt):
-            if value is None:
-                value = int.from_bytes(bytes(map(int, text.split("."))), "big")
-                kind = _ip_kind(value)
-            value = self.permute(value, 1 << 32, "ip")
-            while _ip_kind(value) != kind:
+            if fixed:
+                free = 32 - fixed
+                low = self.permute(value & ((1 << free) - 1), 1 << free, f"ip{value >> free}")
+                value = value >> free << free | low
+            else:
                 value = self.permute(value, 1 << 32, "ip")
+                while _ip_fixed(value):  # one address in eight is special
+                    value = self.permute(value, 1 << 32, "ip")
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def iban(self, text: str, attempt: int) -> str:
+        """Sound check digits become sound ones; of the others, those that are sound for the new body change places with it."""
         bare = text.replace(" ", "")
         body = self.shaped(bare[4:], f"iban{bare[:2]}|{attempt}")
-        check = bare[2:4] if _iban_rest(bare[4:] + bare[:4]) != 1 else f"{98 - _iban_rest(body + bare[:2] + '00'):02d}"
-        new = iter(bare[:2] + check + body)
-        return "".join(c if c == " " else next(new) for c in text)
+        old, new = _iban_check(bare[:2], bare[4:]), _iban_check(bare[:2], body)
+        check = {old: new, new: old}.get(bare[2:4], bare[2:4])
+        out = iter(bare[:2] + check + body)
+        return "".join(c if c == " " else next(out) for c in text)
 
     def secret(self, text: str, attempt: int) -> str:
         for hexa in ("0123456789abcdef", "0123456789ABCDEF"):
@@ -205,21 +260,23 @@ class Surrogates:
                 return self.shaped(text, f"secret{attempt}", dict.fromkeys(hexa, hexa))
         return self.shaped(text, f"secret{attempt}")
 
-    def name(self, text: str, gender: str, attempt: int) -> str:
-        """A given name of the gender (scripts other than Latin: one of its shape), and a family name of its shape."""
-        given, gap, family = text.partition(" ")
-        if given.isascii() or all(c in PLACE and ord(c) < 0x250 for c in given):
-            names = GIVEN[gender]
-            others = [x for x in names if x != given]
-            k = self._number("given", gender, given) + attempt
-            new = others[k % len(others)]
-            rest = attempt // len(others)
-            while rest:  # more entities than names: another one is added
-                rest, r = divmod(rest - 1, len(names))
-                new += "-" + names[r]
-        else:
-            new = self.shaped(given, f"given{attempt}")
-        return new + gap + self.shaped(family, "family") if gap else new
+    def given(self, text: str, gender: str, attempt: int) -> str:
+        """A given name of the gender; in scripts other than Latin one of its shape."""
+        if not all(c.isascii() or c in "-'’" or (c in PLACE and ord(c) < 0x250) for c in text):
+            return self.shaped(text, f"given{attempt}")
+        names = GIVEN[gender]
+        others = [x for x in names if x != text]
+        k = self._number("given", gender, text) + attempt
+        new = others[k % len(others)]
+        rest = attempt // len(others)
+        while rest:  # more entities than names: another one is added
+            rest, r = divmod(rest - 1, len(names))
+            new += "-" + names[r]
+        return new
+
+    def family(self, text: str, attempt: int) -> str:
+        """A name of its shape; the parts of a double name each as they are alone."""
+        return "".join(p if p in "-'’" else self.shaped(p, f"family{attempt}") for p in re.split("([-'’])", text) if p)
 
     def __call__(self, kind: str, text: str, attempt: int = 0) -> str:
         at = (kind, text, attempt)
@@ -228,7 +285,7 @@ class Surrogates:
             if len(self.known) > 100_000:
                 self.known.clear()
             kind, _, gender = kind.partition("-")
-            got = self.name(text, gender, attempt) if kind == "name" else getattr(self, kind)(text, attempt)
+            got = self.given(text, gender, attempt) if kind == "given" else getattr(self, kind)(text, attempt)
             self.known[at] = got
         return got
 
@@ -242,15 +299,18 @@ def _luhn(body: str) -> int:
     return -total % 10
 
 
-def _ip_kind(value: int) -> str:
+def _ip_fixed(value: int) -> int:
+    """The leading bits that tell the special range of an address: private, loopback, link-local, multicast; 0: none of these."""
     first, second = value >> 24, value >> 16 & 255
-    if first == 10:
-        return "10"
+    if first in (0, 10, 127) or first >= 224:
+        return 8
     if first == 172 and 16 <= second < 32:
-        return "172"
-    if first == 192 and second == 168:
-        return "192"
-    return "other" if first in (0, 127) or first >= 224 or first == 169 and second == 254 else "public"
+        return 12
+    return 16 if (first, second) in ((192, 168), (169, 254)) else 0
+
+
+def _iban_check(country: str, body: str) -> str:
+    return f"{98 - _iban_rest(body + country + '00'):02d}"
 
 
 def _iban_rest(text: str) -> int:
@@ -271,7 +331,7 @@ def replace(text: str | None, make: Surrogates, attempts: dict | None = None) ->
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text", max_attempts: int = 1000) -> DataFrame:
-    """(kind, entity, attempt) of the corpus's distinct entities; no two of a kind have one surrogate."""
+    """(kind, entity, attempt) of the corpus's distinct entities; no two of a kind have one surrogate. No texts: no rows."""
     small_batches(docs.sparkSession, 256)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,29 +350,33 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text", max_attempts
     known = materialise(texts.mapInArrow(find, "kind string, entity string").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(max_attempts):
         made = materialise(known.mapInArrow(surrogates, "kind string, entity string, attempt int, surrogate string"), "surrogates")
-        clash = made.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k2"), F.col("surrogate").alias("s2"))
+        clash = made.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1").select(F.col("kind").alias("k2"), F.col("surrogate").alias("s2"), "n", "first")
         clash = materialise(clash, "clashes")
         if clash.isEmpty():
             return known
         hit = materialise(made.join(clash, (F.col("kind") == F.col("k2")) & (F.col("surrogate") == F.col("s2")), "left"), "hit")
-        again = hit.where("k2 IS NOT NULL").selectExpr("kind", "entity", "CAST(attempt + row_number() OVER (PARTITION BY kind, surrogate ORDER BY entity) - 1 AS INT) AS attempt")
-        known = materialise(hit.where("k2 IS NULL").select("kind", "entity", "attempt").union(again), "entities")
+        # The first keeps its attempt. The others draw one from several times as many as they are, by a hash.
+        again = F.when(F.col("k2").isNull() | (F.col("entity") == F.col("first")), F.col("attempt")).otherwise(
+            F.col("attempt") + 1 + F.pmod(F.xxhash64("entity", "attempt"), F.least(F.lit(1 << 24), 8 * F.col("n"))).cast("int"))
+        known = materialise(hit.select("kind", "entity", again.alias("attempt")), "entities")
     raise RuntimeError("surrogates still meet")
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in its texts, and their number in ``count_col`` (replaced if there is one).
 
-    Null texts stay null; texts without entities stay as they are. The result
+    Null texts stay null; texts without entities stay as they are; repeated rows
+    each stay; no rows: no rows. Texts are taken whole, however long. The result
     depends on the key, the texts and nothing else. Attempts above 0 are few;
-    they reach the texts by a join on the id, and only if there are any.
+    they reach the texts by a join on a digest of the text, and only if there are any.
     """
     docs = docs.drop(count_col) if count_col in docs.columns else docs
     more = collisions(docs, key, text_col).where("attempt > 0")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{count_col} int").fields])
-    names, rows, extra = docs.columns, docs, []
+    names, rows, extra = docs.columns, docs, False
     if not more.isEmpty():
-        rows, extra = docs.join(_attempts(docs, more, id_col, text_col), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id"), ["__attempts"]
+        held, extra = _attempts(docs, more, text_col), True
+        rows = docs.join(held, F.md5(F.col(text_col).cast("binary")) == F.col("__digest"), "left").drop("__digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
@@ -325,13 +389,14 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, schema)
 
 
-def _attempts(docs: DataFrame, more: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _attempts(docs: DataFrame, more: DataFrame, text_col: str) -> DataFrame:
+    """(__digest, __attempts): of each text that holds such entities, their attempts."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, k, e) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) for k, e in sorted({(k, t[x:y]) for x, y, k in detect(t) if k.startswith("name")})]
+            got = [(hashlib.md5(t.encode()).hexdigest(), k, e) for t in b.column("text").to_pylist() for k, e in sorted({(k, t[x:y]) for x, y, k in detect(t)})]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["__id", "kind", "entity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*got, strict=True)], names=["__digest", "kind", "entity"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
-    held = texts.mapInArrow(find, "__id long, kind string, entity string").join(more, ["kind", "entity"])
-    return held.groupBy("__id").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
+    held = texts.mapInArrow(find, "__digest string, kind string, entity string").join(more, ["kind", "entity"])
+    return held.groupBy("__digest").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))

@@ -61,7 +61,6 @@ def test_token_store_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = token_store.token_digests(docs, P.path("word_bpe_49k.json"), 2).toPandas().sort_values("start")
     rows = docs.select("doc_id", "text").toPandas()
     want = sorted(zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for x in rows["text"])
@@ -171,25 +170,55 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, text[0]), (7, text[1]), (7, text[2]), (8, text[3]), (8, ""), (0, text[0])])
 
 
-def test_prefix_depth():
-    assert jaccard_join.prefix_depth(0.8, 32, 0.9999) == 6
+def test_depth_is_shortened_by_the_data(spark):
+    assert jaccard_join.least_depth(0.8, 32, 0.9999, 9) == 6
+    forest, rng = jaccard_join.Forest(32, 9), np.random.default_rng(1)
+    base = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64)) for _ in range(60)]
+    for change, depth in ((4, 9), (40, 6)):
+        sets = base + [np.unique(np.concatenate([b[change:], rng.integers(0, 1 << 63, change, dtype=np.uint64)])) for b in base]
+        classes = spark.createDataFrame([(k, forest.labels(s)) for k, s in enumerate(sets)], "rep long, labels binary")
+        tries = jaccard_join._tries(classes, forest, 6)
+        met = jaccard_join._stars(tries, 9).where("rep <> least").selectExpr("rep AS a", "least AS b").distinct()
+        share = jaccard_join.expected_recall(classes, met, forest, 0.8, [9, 8, 7])
+        assert next((d for d, x in share.items() if x >= 0.9999), 6) == depth
+    assert jaccard_join.expected_recall(classes, met.limit(0), forest, 0.8, [9]) == {}
+
+
+def test_tries_keep_what_shares_a_prefix(spark):
+    forest, rng = jaccard_join.Forest(2, 3), np.random.default_rng(2)
+    rows = [(k, rng.integers(0, 3, 6).astype("<u2").tobytes()) for k in range(40)]
+    got = {(r.tree, r.rep) for r in jaccard_join._tries(spark.createDataFrame(rows, "rep long, labels binary"), forest, 2).collect()}
+    node = lambda t, raw: (t, raw[6 * t : 6 * t + 4])
+    every = [node(t, x) for t in (0, 1) for _, x in rows]
+    assert {(t, k) for t in (0, 1) for k, x in rows if every.count(node(t, x)) > 1} <= got
+
+
+def test_jaccard_recall_on_the_table(spark):
+    """The links of all documents of sf0.001 against all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+    sets = [set(zip(*(w[k : max(1, len(w) - 4) + k] for k in range(min(5, len(w)))), strict=False)) for w in (re.findall(r"\w+", (t or "").lower()) for _, t in rows)]
+    want = [sum(1 for j, y in enumerate(sets) if j != i and x and y and len(x & y) >= 0.8 * len(x | y)) for i, x in enumerate(sets)]
+    assert sum(want) > 20 and sum(got.values()) >= 0.999 * sum(want)
 
 
 @pytest.mark.parametrize("text, kinds", [
     ("nt.\nThat.30@mail1.example.com bleou", ["email"]), ("to +1 (603) 555-8791 sh 190", ["phone"]), ("it 233.254.104.120.", ["ip"]),
-    ("token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\"", ["secret"]), ("le 2123465659789240 eau", ["card"]), ("Dear Mrs. Anna Smith and Mr Jones", ["name-f", "name-m"]),
+    ("token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\"", ["secret"]), ("le 2123465659789240 eau", ["card"]), ("Dear Mrs. Anna Smith and Mr Jones", ["given-f", "family", "family"]),
     ("id 078-05-1120", ["ssn"]), ("DE89 3704 0044 0532 0130 00", ["iban"]), ("plain words, 12 of them: 1.2.3 = 4", []), (None, []), ("", []), ("@ a@b +1 ..@..", [])])
 def test_detect(text, kinds):
     assert [k for _, _, k in pii.detect(text)] == kinds
 
 
 @pytest.mark.parametrize("text, found", [
-    ("Ask Dr. Anna Smith or Prof. Weber", [("Anna Smith", "name-"), ("Weber", "name-")]), ("Prof. Dr. Anna Smith", [("Anna Smith", "name-")]),
-    ("Mrs. Anna Smith came. Anna Smith said, Annabel", [("Anna Smith", "name-f")] * 2), ("a" * 90 + "@mail.example.com", [("a" * 90 + "@mail.example.com", "email")]),
+    ("Ask Dr. Anton Smith or Prof. Weber", [("Anton", "given-m"), ("Smith", "family"), ("Weber", "family")]), ("Prof. Dr. Anna Smith", [("Anna", "given-f"), ("Smith", "family")]),
+    ("Mrs. Anna Smith came. Mrs. Smith left, Annabel", [("Anna", "given-f"), ("Smith", "family"), ("Smith", "family")]), ("Anna Smith sat. Dr. John Brown spoke; John", [("Anna", "given-f"), ("Smith", "family"), ("John", "given-"), ("Brown", "family"), ("John", "given-")]),
+    ("Frau Anna Müller-Lüdenscheid, Miss Vera", [("Anna", "given-f"), ("Müller-Lüdenscheid", "family"), ("Vera", "given-f")]), ("603-555-8791 or 6035558791 or 6035558792", [("603-555-8791", "phone"), ("6035558791", "phone")]),
+    ("a" * 90 + "@mail.example.com", [("a" * 90 + "@mail.example.com", "email")]),
     ("token" + " " * 40 + "= b44e15e09fd311c3cf31", [("b44e15e09fd311c3cf31", "secret")])])
 def test_detect_whole_runs_and_mentions(text, found):
     assert [(text[a:b], k) for a, b, k in pii.detect(text)] == found
-    assert not any(e in pii.replace(text, pii.Surrogates(b"k"))[0] for e, _ in found)
+    assert not any(re.search(rf"(?<!\w){re.escape(e)}(?!\w)", pii.replace(text, pii.Surrogates(b"k"))[0]) for e, _ in found)
 
 
 def test_surrogates_keep_shape_and_differ():
@@ -207,7 +236,35 @@ def test_surrogates_keep_shape_and_differ():
     assert pii._luhn(luhn[:-1]) == int(luhn[-1])
     iban = make("iban", "DE89370400440532013000")
     assert pii._iban_rest(iban[4:] + iban[:4]) == 1
-    assert make("name-m", "Bob Müller")[:1].isupper() and make("name-f", "Anna").split("-")[0] in pii.GIVEN["f"]
+    assert make("family", "Müller")[:1].isupper() and make("given-f", "Anna").split("-")[0] in pii.GIVEN["f"]
+    one, two = make("family", "Müller-Lüdenscheid").split("-")
+    assert (one, two) == (make("family", "Müller"), make("family", "Lüdenscheid"))
+    assert {digits(make("phone", x))[-10:] for x in ("603-555-8791", "+16035558791", "+1 603 555 8791", "(603) 555-8791", "6035558791")} == {digits(make("phone", "603-555-8791"))}
+    for low, n in (("192.168.", 65536), ("169.254.", 65536), ("172.20.", 65536), ("10.9.", 65536), ("8.8.", 65536)):
+        new = {make("ip", f"{low}{k >> 8}.{k & 255}") for k in range(0, n, 97)}
+        assert len(new) == len(range(0, n, 97)) and all(pii._ip_fixed(int.from_bytes(bytes(map(int, x.split("."))), "big")) == pii._ip_fixed(int.from_bytes(bytes(map(int, f"{low}0.0".split("."))), "big")) for x in new)
+    ibans = [f"DE{c:02d}370400440532{k:06d}" for c in range(100) for k in range(40)]
+    assert len({make("iban", x) for x in ibans}) == len(ibans)
+
+
+def test_distinct_entities_stay_distinct_over_the_table(spark):
+    """Entities and surrogates of all documents, found again in the texts by their places."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    new = {r.doc_id: r for r in pii.pseudonymise(docs, b"k").collect()}
+    of, back = {}, {}
+    for r in docs.collect():
+        at, out = 0, new[r.doc_id].text
+        found = pii.detect(r.text)
+        assert new[r.doc_id].n_entities == len(found)
+        gaps = [r.text[(found[k - 1][1] if k else 0) : found[k][0]] for k in range(len(found))] if found else []
+        for k, (x, y, kind) in enumerate(found):
+            at += len(gaps[k])
+            rest = r.text[y : found[k + 1][0]] if k + 1 < len(found) else r.text[y:]
+            end = at + y - x if not kind.startswith(("given", "ip")) else out.index(rest, at + 1) if rest else len(out)
+            e, s = (kind, r.text[x:y]), (kind, out[at:end])
+            assert of.setdefault(e, s) == s and back.setdefault(s, e) == e and e != s
+            at = end
+    assert len(of) > 50
 
 
 def test_pii_collisions_and_clean_rows(spark):
