@@ -15,22 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches
+from .common import crc_fold, keep, small_batches
 
 #: Texts that a language's prototype is bundled from at most: those with the smallest md5 of the id.
 SAMPLE = 8_000
 DIM = 1024
-_letters: dict[int, np.ndarray] = {}
 _classes = np.zeros(0x110000, np.uint32)  # letter to lower case, 0: no letter, 1: not yet known
 _classes[:] = 1
 
 
 def _letter(code: int) -> np.ndarray:
-    got = _letters.get(code)
+    letters = keep("langid", dict)
+    got = letters.get(code)
     if got is None:
-        if len(_letters) > 50_000:
-            _letters.clear()
-        got = _letters[code] = np.random.default_rng([11, code]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
+        if len(letters) > 20_000:
+            letters.clear()
+        got = letters[code] = np.random.default_rng([11, code]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
     return got
 
 
@@ -104,7 +104,7 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in sorted(rows.select("lang", "text").coalesce(16).mapInArrow(run, "lang string, v array<double>").collect()):
+    for r in sorted(rows.select("lang", "text").repartition(16).mapInArrow(run, "lang string, v array<double>").collect()):
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["v"])
     sums = {k: v for k, v in sums.items() if v.any()}
     if not sums:
@@ -114,7 +114,7 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE)
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], none: str = "und") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; ``none`` with score 0 where there is no letter or no prototype. Ties: first by name."""
+    """(doc_id, lang_pred, score) of every whole text; ``none`` with score 0 where there is no letter or no prototype. Ties: first by name. Repeated rows each have theirs; no rows: no rows."""
     small_batches(docs.sparkSession, 128)
     names = sorted(prototypes)
     protos = np.stack([prototypes[k] for k in names]) if names else np.zeros((0, DIM))

@@ -147,8 +147,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
 
 
 def score(docs: DataFrame, model: Forest, out_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text (null: as empty), 0 to 1, higher: rather quality 1."""
+    """``docs`` with the score of each whole text (null: as empty), 0 to 1, higher: rather quality 1.
+
+    A column of that name is replaced. Repeated rows each have their score, equal
+    texts equal ones; texts are read whole, however long; no rows: no rows.
+    """
     small_batches(docs.sparkSession, 256)
+    docs = docs.drop(out_col) if out_col in docs.columns and out_col != "text" else docs
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{out_col} double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

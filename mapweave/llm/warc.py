@@ -27,6 +27,8 @@ INDEX = "file string, offset long, length long, url string, digest string, page_
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 #: Ranges nearer than GAP bytes are read as one, up to SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Bytes of archives that a reading task is dealt.
+TASK = 4 << 20
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -125,8 +127,13 @@ def read_index(spark, path: str) -> DataFrame:
 
 
 def read_records(selected: DataFrame, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of ``selected`` rows of the index, read in order of offset, near ranges at once."""
+    """The records of ``selected`` rows of the index, read in order of offset, near ranges at once.
+
+    They are dealt to a task for each ``TASK`` bytes of archives, and 20,000 at most.
+    """
     small_batches(selected.sparkSession)
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = min(20_000, 1 + size // TASK)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(path + "/warc")
@@ -150,7 +157,7 @@ def read_records(selected: DataFrame, path: str, with_payload: bool = True) -> D
                         x["payload"] = None
                 yield pa.RecordBatch.from_pylist(done, schema=_schema(READ))
 
-    return selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, READ)
+    return selected.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, READ)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
