@@ -104,8 +104,16 @@ def check_identifier(name: str) -> str:
 
 # -- z order, relations, extra columns ------------------------------------------
 
-#: Offset of a highway value in the drawing order, and whether it belongs to the roads.
+#: A highway's offset in the drawing order, and whether it belongs to the roads.
 HIGHWAYS = {
+    "proposed": (1, False), "construction": (2, False), "steps": (10, False), "cycleway": (10, False), "bridleway": (10, False),
+    "footway": (10, False), "path": (10, False), "track": (11, False), "service": (15, False), "tertiary_link": (24, False),
+    "secondary_link": (25, True), "primary_link": (27, True), "trunk_link": (28, True), "motorway_link": (29, True), "raceway": (30, False),
+    "pedestrian": (31, False), "living_street": (32, False), "road": (33, False), "unclassified": (33, False), "residential": (33, False),
+    "tertiary": (34, False), "secondary": (36, True), "primary": (37, True), "trunk": (38, True), "motorway": (39, True),
+}
+#: The same for the tag transformation that users bring as a script.
+SCRIPT_HIGHWAYS = {
     "minor": (3, False), "road": (3, False), "unclassified": (3, False), "residential": (3, False), "tertiary_link": (4, False), "tertiary": (4, False),
     "secondary_link": (6, True), "secondary": (6, True), "primary_link": (7, True), "primary": (7, True), "trunk_link": (8, True), "trunk": (8, True),
     "motorway_link": (9, True), "motorway": (9, True),
@@ -113,19 +121,18 @@ HIGHWAYS = {
 
 
 def prefix_int(s: Column) -> Column:
-    """The integer that a string begins with, after blanks; 0 where there is none."""
-    return F.coalesce(F.regexp_extract(s, r"^\s*([-+]?[0-9]{1,9})", 1).try_cast("int"), F.lit(0))
+    """The integer that a string begins with, after blanks, kept to 64 bits and cut to the low 32; 0 where there is none."""
+    digits = F.regexp_extract(s, r"^\s*([-+]?[0-9]+)", 1)
+    low = F.coalesce(digits.try_cast("bigint"), F.when(digits == "", 0).when(digits.startswith("-"), 0).otherwise(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(s.isNull(), 0).otherwise(F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int"))
 
 
 def z_order(tags: Column, highways: dict[str, tuple[int, bool]] = HIGHWAYS) -> Column:
     """100 a layer and the highway's offset, 35 for railways, 100 for bridges, -100 for tunnels."""
-    h = tag(tags, "highway")
-    offset = F.lit(0)
-    for k, (v, _) in highways.items():
-        offset = F.when(h == k, v).otherwise(offset)
+    offset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (v, _) in highways.items() for x in (k, v)]), tag(tags, "highway")), F.lit(0))
     on = lambda k: F.when(F.coalesce(tag(tags, k).isin("yes", "true", "1"), F.lit(False)), 100).otherwise(0)
     rail = F.when(F.coalesce(F.length(tag(tags, "railway")) > 0, F.lit(False)), 35).otherwise(0)
-    return prefix_int(tag(tags, "layer")) * 100 + offset + rail + on("bridge") - on("tunnel")
+    return (prefix_int(tag(tags, "layer")).cast("long") * 100 + offset + rail + on("bridge") - on("tunnel")).cast("int")
 
 
 def is_road(tags: Column, highways: dict[str, tuple[int, bool]] = HIGHWAYS) -> Column:
@@ -133,28 +140,41 @@ def is_road(tags: Column, highways: dict[str, tuple[int, bool]] = HIGHWAYS) -> C
     return F.coalesce(roads, F.lit(False)) | F.coalesce(F.length(tag(tags, "railway")) > 0, F.lit(False)) | F.coalesce(tag(tags, "boundary") == "administrative", F.lit(False))
 
 
+NETWORKS = ("lcn", "rcn", "ncn", "lwn", "rwn", "nwn")
+
+
 def relation_tags(tags: Column) -> Column:
-    """struct<keep, boundary, polygon, tags> of a relation: routes, boundaries and multipolygons; tags without ``type``.
+    """struct<keep, boundary, polygon, tags> of a relation: routes, boundaries and multipolygons with any tag but ``type``; tags without ``type``.
 
-    Routes get route_name, and flags for their network with the ref beside it.
+    Routes get the name as route_name, their network's name as a key with the state
+    (alternate, connection, else yes), the ref as network_ref, and
+    route_pref_color, one digit from 0 to 4. Keys that are there already stay.
     """
-    kind, network = tag(tags, "type"), tag(tags, "network")
+    kind, network, state, color = (tag(tags, k) for k in ("type", "network", "state", "preferred_color"))
     bare = F.map_filter(tags, lambda k, v: k != "type")
-    more = []
-    for code in ("lcn", "rcn", "ncn", "lwn", "rwn", "nwn"):
-        hit = network == code
-        more += [F.struct(F.lit(code).alias("key"), F.when(hit, "yes").alias("value")), F.struct(F.lit(f"{code}_ref").alias("key"), F.when(hit, tag(tags, "ref")).alias("value"))]
-    state = tag(tags, "state")
-    more += [F.struct(F.lit("route_name").alias("key"), tag(tags, "name").alias("value")),
-             F.struct(F.lit("state").alias("key"), F.coalesce(F.when(state.isin("alternate", "temporary", "connection", "proposed"), state), F.lit("yes")).alias("value")),
-             F.struct(F.lit("preferred_color").alias("key"), F.coalesce(F.when(tag(tags, "preferred_color").rlike("^[0-4]$"), tag(tags, "preferred_color")), F.lit("0")).alias("value"))]
-    names = ["route_name", "state", "preferred_color"]
-    routed = F.map_concat(F.map_filter(bare, lambda k, v: ~k.isin(names) & ~k.rlike("^[lrn][cw]n(_ref)?$")), F.map_from_entries(F.filter(F.array(*more), lambda e: e["value"].isNotNull())))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    known = network.isin(*NETWORKS)
+    more = [entry(F.when(known, network), F.when(state.isin("alternate", "connection"), state).otherwise("yes")), entry(F.when(known, F.concat(network, F.lit("_ref"))), tag(tags, "ref")),
+            entry(F.lit("route_pref_color"), F.when(color.rlike(r"^[0-4]\z"), color).otherwise("0"))]
+    name = tag(tags, "name")
+    named = F.when(name.isNotNull(), F.map_concat(F.map_filter(bare, lambda k, v: k != "route_name"), F.create_map(F.lit("route_name"), name))).otherwise(bare)
+    routed = F.map_concat(named, F.map_from_entries(F.filter(F.array(*more), lambda e: e["key"].isNotNull() & e["value"].isNotNull() & ~F.coalesce(F.map_contains_key(named, F.coalesce(e["key"], F.lit(""))), F.lit(False)))))
     boundary = (kind == "boundary") | ((kind == "multipolygon") & tag(tags, "boundary").isNotNull())
-    return F.struct(F.coalesce(kind.isin("route", "boundary", "multipolygon"), F.lit(False)).alias("keep"), F.coalesce(boundary, F.lit(False)).alias("boundary"),
+    return F.struct(F.coalesce(kind.isin("route", "boundary", "multipolygon") & (F.size(bare) > 0), F.lit(False)).alias("keep"), F.coalesce(boundary, F.lit(False)).alias("boundary"),
                     F.coalesce((kind == "multipolygon") & ~boundary, F.lit(False)).alias("polygon"), F.when(kind == "route", routed).otherwise(bare).alias("tags"))
 
 
+def parse_tags(text: Column) -> Column:
+    """Tags from a JSON object of strings, in order of keys; no object: null."""
+    return F.map_from_entries(F.array_sort(F.map_entries(F.from_json(text, "map<string,string>"))))
+
+
+def parse_members(text: Column) -> Column:
+    """Members from a JSON array of {"type": "N", "ref": 1, "role": ""}, the type's letter in either case."""
+    raw = F.from_json(text, "array<struct<type:string,ref:bigint,role:string>>")
+    return F.transform(raw, lambda m: F.struct(F.lower(m["type"]).alias("type"), m["ref"].alias("ref"), F.coalesce(m["role"], F.lit("")).alias("role")))
+
+
 def hstore(tags: Column, mode: str, columns: list[str], prefixes: tuple[str, ...] = ()) -> Column:
     """The tags column: mode 'none' null, 'norm' those without a column of their own, 'all' all; without z_order; empty is null."""
     if mode == "none":
@@ -165,7 +185,7 @@ def hstore(tags: Column, mode: str, columns: list[str], prefixes: tuple[str, ...
 
 def prefix_store(tags: Column, prefix: str) -> Column:
     """Tags whose keys begin with a prefix, without it; none is null."""
-    out = F.transform_keys(F.map_filter(tags, lambda k, v: k.startswith(prefix)), lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.lit(10000)))
+    out = F.transform_keys(F.map_filter(tags, lambda k, v: k.startswith(prefix)), lambda k, v: F.substr(k, F.lit(len(prefix) + 1)))
     return F.when(F.size(out) > 0, out)
 
 
@@ -185,10 +205,13 @@ def duration(seconds: Column) -> Column:
 
 
 def pretty_delta(seconds: Column) -> Column:
-    """Weeks, days, hours, minutes, seconds, those that are not zero."""
+    """Weeks, days, hours, minutes, seconds, from the largest that is not zero on."""
     s = seconds.cast("long")
-    parts = [((s / 604800).cast("long"), "week(s)"), (((s % 604800) / 86400).cast("long"), "day(s)"), (((s % 86400) / 3600).cast("long"), "hour(s)"), (((s % 3600) / 60).cast("long"), "minute(s)"), (s % 60, "second(s)")]
-    return F.concat_ws(" ", *[F.when(v > 0, F.concat_ws(" ", v.cast("string"), F.lit(u))) for v, u in parts])
+    out = F.concat((s % 60).cast("string"), F.lit(" second(s)"))
+    for size, more, unit in ((60, 60, "minute(s)"), (3600, 24, "hour(s)"), (86400, 7, "day(s)"), (604800, None, "week(s)")):
+        v = F.floor(s / size).cast("long")
+        out = F.when(s >= size, F.concat((v % more if more else v).cast("string"), F.lit(f" {unit} "), out)).otherwise(out)
+    return out
 
 
 def iso_time(epoch: Column) -> Column:

@@ -108,14 +108,15 @@ def tiles_of(g: S.Geom, zoom: int, config: ExpireConfig = ExpireConfig()) -> set
         _box(out, x, y, x, y, width, config.buffer)
     elif g.kind == "LINESTRING":
         _line(out, g.data, width, config.buffer)
-    elif g.kind == "POLYGON":
-        for r in g.data:
-            _line(out, r, width, config.buffer)
-        b = S.bbox(g)
-        wide = max(b[2] - b[0], b[3] - b[1])
-        if config.mode == "full_area" or (config.mode == "hybrid" and wide <= config.full_area_limit):
-            if len(out) > 1:
-                _fill(out, g.data, width)
+    elif g.kind in ("POLYGON", "MULTIPOLYGON"):
+        parts = [g] if g.kind == "POLYGON" else g.parts
+        for p in parts:
+            for r in p.data:
+                _line(out, r, width, config.buffer)
+        b = S.bbox(g)  # the mode is decided once, on the whole
+        if len(out) > 1 and (config.mode == "full_area" or (config.mode == "hybrid" and max(b[2] - b[0], b[3] - b[1]) <= config.full_area_limit)):
+            for p in parts:
+                _fill(out, p.data, width)
     else:
         for p in g.parts:
             out |= tiles_of(p, zoom, config)
@@ -127,29 +128,47 @@ def geometry_tiles(geom: Column | str, zoom: int, config: ExpireConfig = ExpireC
     return F.coalesce(arrow_fn(lambda raw: [{"x": x, "y": y} for x, y in sorted(tiles_of(S.from_ewkb(raw), zoom, config))], TILES)(geom), F.array().cast(TILES))
 
 
-def line_tiles(pts: Column, zoom: int, buffer: float = 0.0, steps_per_tile: float = 2.5) -> Column:
-    """Tiles of a line (array<struct<x,y>> in 3857) by Catalyst alone: the boxes of steps of 0.4 tiles."""
+def line_tiles(pts: Column, zoom: int, buffer: float = 0.0, step: float = 0.4) -> Column:
+    """Tiles of a line (array<struct<x,y>> in 3857) by Catalyst alone: the boxes of steps of 0.4 tiles, from the western end on.
+
+    A segment over half the map crosses the date line: its western end goes round.
+    """
     from ..functions.coords import segments
 
     width = 1 << zoom
     at = F.transform(pts, lambda p: F.struct(tile_coord(p["x"], zoom, "x").alias("x"), tile_coord(p["y"], zoom, "y").alias("y")))
     hold = lambda c: F.greatest(F.lit(0), F.least(F.lit(width - 1), c))
 
+    def ends(s: Column) -> Column:
+        low, high = F.least(s["a"], s["b"]), F.greatest(s["a"], s["b"])
+        over = high["x"] - low["x"] > width / 2
+        a = F.when(over, high).otherwise(low)
+        b = F.when(over, F.struct((low["x"] + width).alias("x"), low["y"].alias("y"))).otherwise(high)
+        far = F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"]))
+        return F.struct(a.alias("a"), b.alias("b"), far.alias("far"))
+
     def boxes(s: Column) -> Column:
-        far = F.sqrt((s["b"]["x"] - s["a"]["x"]) * (s["b"]["x"] - s["a"]["x"]) + (s["b"]["y"] - s["a"]["y"]) * (s["b"]["y"] - s["a"]["y"]))
-        n = F.greatest(F.lit(1), F.ceil(far * steps_per_tile).cast("int"))
-        mid = lambda k, c: s["a"][c] + (s["b"][c] - s["a"][c]) * k / n
+        n = (s["far"] / step).cast("int")
+        move = lambda c: F.when(s["far"] > 0, (s["b"][c] - s["a"][c]) / s["far"] * step).otherwise(0.0)
 
         def one(k: Column) -> Column:
-            lo = lambda c: F.least(mid(k, c), mid(k + 1, c)) - buffer
-            hi = lambda c: F.greatest(mid(k, c), mid(k + 1, c)) + buffer
+            begin = {c: s["a"][c] + k * move(c) for c in "xy"}
+            end = {c: F.when(k < n, begin[c] + move(c)).otherwise(s["b"][c]) for c in "xy"}
+            lo = lambda c: F.least(begin[c], end[c]) - buffer
+            hi = lambda c: F.greatest(begin[c], end[c]) + buffer
             xs = F.sequence(lo("x").cast("int"), hi("x").cast("int"))
             ys = F.sequence(hold(lo("y").cast("int")), hold(hi("y").cast("int")))
             return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(F.pmod(x, F.lit(width)).alias("x"), y.alias("y")))))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), one))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), one))
+
+    return F.array_distinct(F.flatten(F.transform(F.transform(segments(at), ends), boxes)))
+
 
-    return F.array_distinct(F.flatten(F.transform(segments(at), boxes)))
+def deleted_tiles(objects: DataFrame, deleted: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), geom: str = "geom") -> DataFrame:
+    """(id, x, y): tiles of what objects (id, geometry in 3857) were, of those that are ``deleted`` (id)."""
+    gone = objects.join(deleted.select("id").distinct(), "id", "left_semi")
+    return gone.select("id", F.explode(geometry_tiles(geom, zoom, config)).alias("t")).select("id", "t.x", "t.y")
 
 
 def limit_tiles(tiles: DataFrame, by: str, most: int) -> DataFrame:
@@ -161,7 +180,11 @@ def limit_tiles(tiles: DataFrame, by: str, most: int) -> DataFrame:
 def limit_overall(tiles: DataFrame, by: str, most: int) -> DataFrame:
     """Changes in order of ``by`` until they have ``most`` tiles; tile counts by change, not tiles, are added up."""
     n = tiles.groupBy(by).agg(F.count("*").alias("__n"))
-    kept = n.withColumn("__sum", F.expr(f"sum(__n) OVER (ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")).where(F.col("__sum") <= most)
+    dealt = n.repartitionByRange(by).sortWithinPartitions(by).withColumn("__part", F.spark_partition_id())
+    dealt = dealt.withColumn("__in", F.expr(f"sum(__n) OVER (PARTITION BY __part ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    parts = dealt.groupBy(F.col("__part").alias("__p")).agg(F.sum("__n").alias("__all"))  # a row for each range
+    parts = parts.withColumn("__before", F.expr("sum(__all) OVER (ORDER BY __p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - __all"))
+    kept = dealt.join(F.broadcast(parts), F.col("__part") == F.col("__p")).where(F.col("__before") + F.col("__in") <= most)
     return tiles.join(kept.select(by), by, "left_semi")
 
 

@@ -16,18 +16,20 @@ from ..functions.coords import EARTH, tile_box
 def discrete_isolation(df: DataFrame, id_col="id", x="x", y="y", importance="importance") -> DataFrame:
     """(id, irank, discr_iso, dirank): rank by importance, the least distance to a more important one, rank by that.
 
-    Ties go by id. The first feature has the largest distance of the others plus
-    one, so that it stays first. Fewer than two features: none. Every pair is
-    compared, as the definition asks; ``isolation_blocks`` does so for many.
+    Ties go by id. Differences are taken between coordinates of single precision.
+    The first feature has the distance of the second plus one. Fewer than two
+    features: none. Every pair is compared, as the definition asks;
+    ``isolation_blocks`` does so for many.
     """
-    rows = df.where(F.col(importance) > 0).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(importance).alias("imp"))
+    rows = df.where(F.col(importance) > 0).select(F.col(id_col).alias("id"), F.col(x).cast("float").alias("x"), F.col(y).cast("float").alias("y"), F.col(importance).alias("imp"))
     ranked = rows.withColumn("irank", F.expr("CAST(row_number() OVER (ORDER BY imp DESC, id) - 1 AS INT)"))
     other = ranked.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("irank").alias("orank"))
     pairs = ranked.join(other, F.col("orank") < F.col("irank"))
-    near = pairs.groupBy("id").agg(F.min(F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))).alias("d"))
+    far = lambda a, b: (F.col(a) - F.col(b)).cast("double")
+    near = pairs.groupBy("id").agg(F.sqrt(F.min(far("x", "ox") * far("x", "ox") + far("y", "oy") * far("y", "oy"))).alias("d"))
     out = ranked.join(near, "id", "left")
-    first = F.expr("max(d) OVER () + 1")
-    out = out.withColumn("discr_iso", F.coalesce("d", first)).where("discr_iso IS NOT NULL")
+    second = F.expr("max(CASE WHEN irank = 1 THEN d END) OVER () + 1")
+    out = out.withColumn("discr_iso", F.coalesce("d", second)).where("discr_iso IS NOT NULL")
     return out.withColumn("dirank", F.expr("CAST(row_number() OVER (ORDER BY discr_iso DESC, id) - 1 AS INT)")).select("id", "irank", "discr_iso", "dirank")
 
 

@@ -91,3 +91,10 @@ def enrich_members(edges: DataFrame, relations: DataFrame, kind: str, value: str
 def with_users(objects: DataFrame, users: DataFrame) -> DataFrame:
     """User names from the table of users; unknown ones are null."""
     return objects.drop("user").join(users, "uid", "left")
+
+
+def lookup(objects: DataFrame, ids: list[int] | DataFrame, id_col: str = "id") -> DataFrame:
+    """Single objects by their ids: a list goes into the scan as a filter, a table (id) is semi-joined. Ids that aren't there give no row."""
+    if isinstance(ids, DataFrame):
+        return objects.join(ids.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    return objects.where(F.col(id_col).isin([int(i) for i in ids]))

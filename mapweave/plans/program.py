@@ -114,8 +114,10 @@ class Program:
         return self.define_table(name, "area", columns, ("area_id",), **o)
 
     def on(self, event: str):
-        """Decorator. Events: process_node, process_way, process_relation, and each with untagged_ or deleted_ before the kind."""
-        names = {f"process_{u}{k}" for u in ("", "untagged_", "deleted_") for k in ("node", "way", "relation")}
+        """Decorator. Events: process_node, process_way, process_relation, and each with untagged_ or deleted_ before the kind;
+        after_nodes, after_ways and after_relations come once, after all objects of a kind, and get all of them.
+        """
+        names = {f"process_{u}{k}" for u in ("", "untagged_", "deleted_") for k in ("node", "way", "relation")} | {"after_nodes", "after_ways", "after_relations"}
         if event not in names:
             raise ValueError(f"no event {event!r}")
 
@@ -133,7 +135,7 @@ class Program:
         """Rows of each table. Coordinates and members are resolved only for objects whose callback exists."""
         self._rows, self.rejected = {}, {}
         frames = {"node": nodes, "way": None, "relation": None}
-        uses = lambda k: any(e.endswith(k) and "deleted" not in e for e in self.callbacks)
+        uses = lambda k: any((e.endswith(k) or e == f"after_{k}s") and "deleted" not in e for e in self.callbacks)
         if uses("way") or uses("relation"):
             located = R.locate(R.way_edges(ways), nodes)
             frames["way"] = ways.join(located.withColumnRenamed("way_id", "id"), "id", "left")
@@ -147,6 +149,9 @@ class Program:
                     seen = df.where("visible") if split and "visible" in df.columns else df.where("NOT visible") if not split else df
                     o = Objects(kind[0], seen, self)
                     fn(getattr(o, split)() if split else o)
+            for fn in self.callbacks.get(f"after_{kind}s", []):
+                df = frames[kind] if frames[kind] is not None else {"node": nodes, "way": ways, "relation": relations}[kind]
+                fn(Objects(kind[0], df.where("visible") if "visible" in df.columns else df, self))
         out = {}
         for name, parts in self._rows.items():
             df = parts[0]

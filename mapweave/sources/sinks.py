@@ -79,3 +79,17 @@ def add_users(known: DataFrame, objects: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where the driver is the executor."""
+    import re
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="mapweave-")
+    return f"{base.rstrip('/')}/mapweave/{name}-{uuid.uuid4().hex[:12]}"

@@ -4,12 +4,15 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from mapweave.functions import shapes as S
+from mapweave.functions import tags as T
 from mapweave.functions.coords import EARTH
 from mapweave.operators import expire as E
 from mapweave.operators import generalize as G
+from mapweave.plans import queries as Q
 from mapweave.sources import demo as D
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +92,34 @@ def test_lines_over_all_nodes(spark):
         if len(pts) > 1:
             want[r["id"]] = len(S.simplify(S.Geom("LINESTRING", pts), 20.0).data)
     assert {r["way_id"]: r["n"] for r in rows(spark, "f16_simplify")} == want
+
+
+def test_line_tiles_equal_the_kernel(spark):
+    lines = {r["way_id"]: [(p["x"], p["y"]) for p in r["line"]] for r in Q._mercator_line(spark, SF).collect()}
+    got = defaultdict(set)
+    for r in rows(spark, "e2_line_tiles"):
+        got[r["way_id"]].add((r["x"], r["y"]))
+    want = {k: E.tiles_of(S.Geom("LINESTRING", pts, 3857), 6, E.ExpireConfig(buffer=0.0)) for k, pts in lines.items()}
+    assert len(want) > 1000 and {k for k in want if got[k] != want[k]} == set()
+
+
+def test_mode_is_decided_on_the_whole():
+    square = lambda x: S.Geom("POLYGON", [[(x, 0.0), (x + 2e4, 0.0), (x + 2e4, 2e4), (x, 2e4), (x, 0.0)]], 3857)
+    both = S.Geom("MULTIPOLYGON", [square(0.0), square(3e5)], 3857)
+    of = lambda mode: E.tiles_of(both, 14, E.ExpireConfig(mode, full_area_limit=5e4))
+    assert of("hybrid") == of("boundary_only") < of("full_area")
+
+
+def test_overall_limit(spark):
+    t = spark.createDataFrame([(k, x, 0) for k in range(50) for x in range(k % 4 + 1)], "seq int, x int, y int").repartition(7)
+    want, total = set(), 0
+    for k in range(50):
+        total += k % 4 + 1
+        want |= {k} if total <= 70 else set()
+    assert {r["seq"] for r in E.limit_overall(t, "seq", 70).collect()} == want
+
+
+def test_layers_of_any_size(spark):
+    texts = [" 3x", "-2", "", None, "x", "99999999999999999999", "-99999999999999999999", "4294967297", "12345678901"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.prefix_int(F.col("s"))).collect()]
+    assert got == [3, -2, 0, 0, 0, -1, 0, 1, -539222987]
