@@ -56,11 +56,10 @@ _ANY = "|".join(sorted(TITLES, key=len, reverse=True))
 _TITLED = re.compile(rf"(?<!\w)({_ANY})(\.? )(?!(?:{_ANY})\.? )({_WORD})(?: ({_WORD}))?(?!\w)")
 #: The gender that a listed given name tells.
 GENDER = {n: g for g, names in GIVEN.items() for n in names}
-_UNTITLED = re.compile(rf"(?<![\w'’-])({'|'.join(sorted(GENDER))}) ({_WORD})(?!\w)")
+_PAIR = re.compile(r"([A-Z][a-z]+) (?=[^\W\d_a-z])")
+_NEXT = re.compile(rf"{_WORD}(?!\w)")
 #: Country calling codes of one and two digits; the others have three.
 CALLING = {"1", "7", *map(str, (20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98))}
-#: What a text must hold for there to be any entity, as Spark SQL.
-MAYBE = "@|[0-9]|[=:]|" + "|".join([*TITLES, *GENDER]) + "|AKIA|gh[pousr]_|sk-|xox"
 
 
 def _back(text: str, at: int, chars) -> int:
@@ -91,9 +90,12 @@ def _names(text: str) -> list[tuple[int, int, str]]:
         else:
             single.append((*m.span(3), TITLES[m[1]]))
     taken = {x[0] for x in found} | {x[0] for x in single}
-    for m in _UNTITLED.finditer(text):
-        if m.start() not in taken and _capital(m[2]) and m[2] not in TITLES and m[2] != m[1]:
-            found += [(*m.span(1), "given-" + GENDER[m[1]]), (*m.span(2), "family")]
+    for m in _PAIR.finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if m[1] in GENDER and m.start() not in taken and not (before.isalnum() or before in ("_", "-", "'", "’")):
+            other = _NEXT.match(text, m.end())
+            if other and _capital(other[0]) and other[0] not in TITLES and other[0] != m[1]:
+                found += [(*m.span(1), "given-" + GENDER[m[1]]), (*other.span(), "family")]
     for x, y, kind in found:
         known.setdefault(text[x:y], kind)
     for x, y, gender in single:
@@ -346,7 +348,7 @@ def collisions(docs: DataFrame, key: bytes, text_col: str = "text", max_attempts
             new = [make(k, e, a) for k, e, a in zip(*(b.column(c).to_pylist() for c in ("kind", "entity", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "surrogate"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     known = materialise(texts.mapInArrow(find, "kind string, entity string").distinct().withColumn("attempt", F.lit(0)), "entities")
     for _ in range(max_attempts):
         made = materialise(known.mapInArrow(surrogates, "kind string, entity string, attempt int, surrogate string"), "surrogates")
@@ -397,6 +399,6 @@ def _attempts(docs: DataFrame, more: DataFrame, text_col: str) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*got, strict=True)], names=["__digest", "kind", "entity"])
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(MAYBE))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     held = texts.mapInArrow(find, "__digest string, kind string, entity string").join(more, ["kind", "entity"])
     return held.groupBy("__digest").agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias("__attempts"))
