@@ -348,7 +348,8 @@ def keep_one(docs: DataFrame, text_col="text", **options) -> DataFrame:
         rows, key = materialise(order.drop("__hash").withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
         found = near_duplicates(rows, id_col=key, text_col=text_col, **options)
     kept = materialise(found.where(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__keep")), "kept")
-    out = rows.join(kept, rows[key] == F.col("__keep"), "left_semi")
+    # What is kept grows with the documents: always a merge join, never a broadcast that goes away at scale.
+    out = rows.join(kept.hint("merge"), rows[key] == F.col("__keep"), "left_semi")
     if key == "__row":
         out = out.drop(key).dropDuplicates(["doc_id", text_col])
     return out.unionByName(docs.where("doc_id IS NULL"))
