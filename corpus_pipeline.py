@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.
+
+Null and empty texts are scored as empty, never are near duplicates, hold no
+personal data, have size 0 in the mix (they come as often as their whole source
+does) and no ids. Rows with a null id stay. Of rows that repeat an id, each is a
+document of its own until the near duplicates, where equal texts become one. Empty
+tables give empty results; columns beyond those of documents are dropped first.
 """
 
 from __future__ import annotations
@@ -38,18 +44,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or twice."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("epochs > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("epochs").cast("int").alias("__epochs"))
-    taken = materialise(taken.groupBy("__id", "__size").agg(F.sum("__epochs").alias("__epochs"), F.count("*").alias("__rows")), "taken")
-    docs = docs.withColumn("__n", mixing.word_count("text"))
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    if not taken.where("__rows > 1").isEmpty():  # rows that repeat an id share what the mix takes of them
-        out = out.withColumn("__rank", F.expr("row_number() OVER (PARTITION BY doc_id, __n ORDER BY text, source)"))
-        out = out.withColumn("__rows", F.expr("count(*) OVER (PARTITION BY doc_id, __n)"))
-        out = out.withColumn("__epochs", F.expr("__epochs div __rows + if(__rank <= __epochs % __rows, 1, 0)"))
-    out = out.where("__epochs > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs").cast("int"))))
-    return out.select(*COLUMNS)
+    """Each document as often as the mix takes it: not at all, once, or twice. Of rows that share an id and a size, some may be."""
+    return mixing.repeat(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

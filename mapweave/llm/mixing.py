@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: A word of the size: a run of anything but ASCII white space.
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
@@ -56,10 +58,20 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     separate documents, of which equal ones may stand in any order, which changes
     no figure of theirs but which of them is taken. No rows: no rows.
     """
+    run = _placed(docs, id_col, text_col, source_col, weights, share, cap, seed, fine)
+    return run.selectExpr(f"id AS `{id_col}`", "size", "source_size", "target", f"least(epochs, {cap}) * size AS taken", f"least(epochs, {cap}) AS epochs")
+
+
+def order_key(id_col: str, seed: str = "mix") -> Column:
+    """What documents of a source stand in the order of, before their size."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
+def _placed(docs, id_col, text_col, source_col, weights, share, cap, seed, fine) -> DataFrame:
+    """(id, src, h, size, source_size, target, whole, epochs): of each row, the epochs that all of its source have, and its own."""
     spark = docs.sparkSession
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(text_col).alias("size"), key)
-    sized = sized.withColumn("g", F.substring("h", 1, fine))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), word_count(text_col).alias("size"), order_key(id_col, seed).alias("h"))
+    sized = materialise(sized, "sized").withColumn("g", F.substring("h", 1, fine))  # words are counted once
     groups = sized.groupBy("src", "g").agg(F.sum("size").alias("size"))
     tgt = spark.sql(targets_sql("{sized}", weights, share, cap), sized=groups)
     before = groups.select("src", "g", F.expr("sum(size) OVER (PARTITION BY src ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size").alias("before"))
@@ -67,10 +79,41 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     plan = plan.withColumnsRenamed({"src": "src2", "g": "g2"})
     run = sized.withColumn("upto", F.expr("sum(size) OVER (PARTITION BY src, g ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
     out = run.join(plan, run["src"].eqNullSafe(plan["src2"]) & (run["g"] == plan["g2"]), "left")
-    return out.selectExpr("id", "size", "source_size", "target", "source_size = 0 AS none", "before + upto - size AS first").selectExpr(
-        f"id AS `{id_col}`", "size", "source_size", "target",
-        "CAST(CASE WHEN none THEN 0 ELSE floor(target / source_size) + CASE WHEN size > 0 AND first + size / 2D <= target - floor(target / source_size) * source_size THEN 1 ELSE 0 END END AS BIGINT) AS epochs",
-    ).selectExpr(f"`{id_col}`", "size", "source_size", "target", f"least(epochs, {cap}) * size AS taken", f"least(epochs, {cap}) AS epochs")
+    out = out.selectExpr("id", "src", "h", "size", "source_size", "target", "before + upto - size AS first", "CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END AS BIGINT) AS whole")
+    return out.selectExpr("id", "src", "h", "size", "source_size", "target", "whole", "CAST(whole + CASE WHEN source_size > 0 AND size > 0 AND first + size / 2D <= target - whole * source_size THEN 1 ELSE 0 END AS BIGINT) AS epochs")
+
+
+def repeat(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, cap=2, seed="mix", fine: int = 3) -> DataFrame:
+    """``docs``, each row as often as ``mix`` takes it.
+
+    Within a source the extra epoch is a prefix of the order, so it ends at one
+    place (order key, size): a row for each source is all that the texts are joined
+    with, and they aren't shuffled. Where several rows stand at that place (they
+    share id and size), as many of them as ``mix`` takes are, in the order of their texts.
+    """
+    run = _placed(docs, id_col, text_col, source_col, weights, share, cap, seed, fine)
+    run = materialise(run.select("src", "h", "size", "whole", "epochs"), "placed")
+    ends = run.groupBy("src").agg(F.max("whole").alias("__whole"), F.max(F.when(F.col("epochs") > F.col("whole"), F.struct("h", "size"))).alias("__end"))
+    ends = materialise(ends.select(F.col("src").alias("__src"), "__whole", F.col("__end.h").alias("__end_h"), F.col("__end.size").alias("__end_size")), "ends")
+    at_end = run.join(ends, run["src"].eqNullSafe(F.col("__src")) & (F.col("h") == F.col("__end_h")) & (F.col("size") == F.col("__end_size")))
+    tied = at_end.groupBy("src").agg(F.count("*").alias("n"), F.sum(F.col("epochs") - F.col("whole")).alias("__extra")).where("n > 1").select(F.col("src").alias("__tied"), "__extra")
+    tied = materialise(tied, "tied")
+    names = docs.columns
+    out = docs.withColumn("__h", order_key(id_col, seed)).withColumn("__n", word_count(text_col))
+    out = out.join(ends, F.col(source_col).cast("string").eqNullSafe(F.col("__src")))
+    place, end = F.struct(F.col("__h").alias("h"), F.col("__n").alias("n")), F.struct(F.col("__end_h").alias("h"), F.col("__end_size").alias("n"))
+    more = F.when((F.col("__n") > 0) & F.col("__end_h").isNotNull() & (place <= end), 1).otherwise(0)
+    if not tied.isEmpty():
+        here = out.where(F.coalesce(place == end, F.lit(False))).join(tied, F.col("__src").eqNullSafe(F.col("__tied")))
+        rank = here.withColumn("__rank", F.expr(f"row_number() OVER (PARTITION BY __src ORDER BY `{text_col}`)")).where("__rank <= __extra OR __whole > 0")
+        here = rank.withColumn("__epochs", F.col("__whole") + F.when(F.col("__rank") <= F.col("__extra"), 1).otherwise(0)).select(*names, "__epochs")
+        gone = tied.select(F.col("__tied").alias("__gone"))
+        out = out.join(gone, F.col("__src").eqNullSafe(F.col("__gone")) & F.coalesce(place == end, F.lit(False)), "left_anti")
+        out = out.withColumn("__epochs", F.col("__whole") + more).select(*names, "__epochs").unionByName(here)
+    else:
+        out = out.withColumn("__epochs", F.col("__whole") + more).select(*names, "__epochs")
+    out = out.withColumn("__epochs", F.least(F.lit(cap), F.col("__epochs")).cast("int")).where("__epochs > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*names)
 
 
 def mix_sql(weights=(5, 2, 1), share=1.5, cap=2, seed="mix") -> str:

@@ -358,3 +358,93 @@ def test_decode_of_broken_sequences():
     byte = lambda *v: [c.ranks[bytes([x])] for x in v]
     for ids in (byte(0xE6, 0x97, 0xA5), byte(0xE6, 0x41, 0xC3), byte(0x41, 0xF0, 0x9F), byte(0xFF, 0xC3, 0xA9), []):
         assert c.decode(ids) == "".join(c.decode_stream(ids)) == c.decode_bytes(ids).decode("utf-8", "replace")
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage on odd rows, against its operator or a brute-force version."""
+    import corpus_pipeline as C
+    import tiktoken
+
+    rng = np.random.default_rng(8)
+    prose = [" ".join(f"w{int(v)}" for v in rng.integers(0, 900, 80)) for _ in range(60)]
+    rows = [(100 + k, t, "en", f"s{k % 3}", len(t), "x", "y") for k, t in enumerate([*prose, prose[0], prose[1] + " end", prose[2] + " mail me@site.example.com"])]
+    table = docs.unionByName(frame(spark, rows, DOCS))
+    table.drop("n_tokens").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage, sf = dict(C.STAGES), str(tmp_path)
+    for name, f in C.STAGES:
+        assert f(spark, empty(spark), sf).count() == 0, name
+    kept = stage["quality"](spark, table, sf)
+    assert kept.columns == C.COLUMNS and kept.count() == table.count()
+    near = {r.doc_id for r in stage["near_duplicates"](spark, table, sf).collect()}
+    assert {100, 101, 102} <= near and not {160, 161, 162} & near and 4 in near and not {5, 6} & near and {0, 1, 2, None} <= near
+    clean = {r.doc_id: r for r in stage["pii"](spark, table, sf).collect()}
+    assert "me@site" not in clean[162].text and clean[162].n_chars == len(clean[162].text) and clean[100].text == prose[0]
+    mixed = pd.Series([r.doc_id for r in stage["mixing"](spark, table, sf).where("doc_id IS NOT NULL").collect()]).value_counts()
+    want = mixing.mix(table).where("doc_id IS NOT NULL").groupBy("doc_id").agg({"epochs": "sum"}).toPandas().set_index("doc_id")["sum(epochs)"]
+    assert mixed.to_dict() == want[want > 0].to_dict()
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bbpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {r.doc_id: r.text for r in table.collect()}
+    ids = stage["encoding"](spark, table, sf).collect()
+    assert len(ids) == table.count() and all(list(r.ids) == lib.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r.ids) for r in ids)
+    assert C.run(spark, sf).count() > 0
+
+
+def test_repeat_of_tied_rows(spark):
+    rows = [(7, w, "a") for w in ("one two", "six ten", "abc def", "one two")] + [(8, "x y", "b"), (9, "z", "b"), (None, "q r", "b"), (10, None, "b")]
+    df = frame(spark, rows, "doc_id long, text string, source string")
+    key = lambda d: sorted((r[0] or 0, r[1]) for r in d.collect())
+    got = key(mixing.repeat(df).groupBy("doc_id").count())
+    assert got == key(mixing.mix(df).groupBy("doc_id").agg({"epochs": "sum"}).where("`sum(epochs)` > 0"))
+
+
+def fair_targets(sizes, share=1.5, cap=2.0):
+    """Round by round: the budget by weight, what is above a cap shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, got, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, share * sum(sizes.values())
+    while len(got) < len(order):
+        open_ = [s for s in order if s not in got]
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > cap * sizes[s]]
+        if not full:
+            return got | {s: unit * weight[s] for s in open_}
+        for s in full:
+            got[s] = cap * sizes[s]
+            left -= got[s]
+    return got
+
+
+def test_mixing_targets_by_rounds(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(3):
+        names = [None, *"abcdefg"][: int(rng.integers(2, 9))]
+        rows = [(k, " ".join("w" * int(rng.integers(0, 90) ** 2 // (1 + 20 * (k % 3)))), names[int(rng.integers(0, len(names)))]) for k in range(300)]
+        sizes: dict = {}
+        for _, t, s in rows:
+            sizes[s] = sizes.get(s, 0) + len(t.split())
+        src = {k: s for k, _, s in rows}
+        want = fair_targets(sizes)
+        for r in mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).collect():
+            assert r.target == pytest.approx(want[src[r.doc_id]]) and r.source_size == sizes[src[r.doc_id]]
+
+
+def test_clashing_columns(spark, docs):
+    model = quality.train(docs.drop("score"), spark.createDataFrame([], "doc_id long, quality int"))
+    scored = quality.score(docs, model)
+    assert scored.columns.count("score") == 1 and dict(scored.dtypes)["score"] == "double"
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = bbpe.encode_column(docs.withColumn("ids", docs["text"]).withColumn("decoded", docs["text"]), path, P.PATTERN)
+    assert all(r.decoded == (r.text or "") for r in bbpe.decode_column(enc, path, P.PATTERN).collect())
+
+
+def test_long_texts(spark):
+    """Megabytes in one text, with and without white space."""
+    from tokenizers import Tokenizer
+
+    long = [("ab cd, it's 12 " * 150_000), "x" * 300_000]
+    path = P.path("word_bpe_49k.json")
+    t, got = Tokenizer.from_file(path), token_store.encoder(path).encode(long)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in long]
+    c = bbpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert all(c.decode(np.frombuffer(c.encode(x), "<u4").tolist()) == x for x in long)
+    assert np.isfinite(quality.features(long[0])).all() and langid.bundle(long).any(axis=1).all() and pii.detect(long[0]) == []
