@@ -17,10 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def nodes(spark: SparkSession, sf_dir: str, missing: bool = True) -> DataFrame:
-    """(id, x, y, lon, lat, tags); every fiftieth is left out where ``missing``, so that ways have references without a node."""
-    p = table(spark, sf_dir, "part").where("NOT (p_partkey + 1) % 50 = 0") if missing else table(spark, sf_dir, "part")
-    p = p.selectExpr("p_partkey + 1 AS id", "CAST(((p_partkey * 7919) % 3400 - 1700) * 1000000 AS INT) AS x", "CAST(((p_partkey * 104729) % 1600 - 800) * 1000000 AS INT) AS y",
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x, y, lon, lat, tags)"""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey + 1 AS id", "CAST(((p_partkey * 7919) % 3400 - 1700) * 1000000 AS INT) AS x", "CAST(((p_partkey * 104729) % 1600 - 800) * 1000000 AS INT) AS y",
                      "map('brand', p_brand, 'type', p_type, 'size', CAST(p_size AS STRING), 'name', p_name) AS tags")
     return p.select("id", "x", "y", (F.col("x") / F.lit(1e7)).alias("lon"), (F.col("y") / F.lit(1e7)).alias("lat"), "tags")
 
@@ -68,7 +67,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTE = f"""
 nodes AS (SELECT p_partkey + 1 AS id, ((p_partkey * 7919) % 3400 - 1700) * 1000000 / 1e7 AS lon, ((p_partkey * 104729) % 1600 - 800) * 1000000 / 1e7 AS lat,
-  p_brand AS brand, p_type AS type, p_size AS size, p_name AS name FROM part WHERE NOT (p_partkey + 1) % 50 = 0),
+  p_brand AS brand, p_type AS type, p_size AS size, p_name AS name FROM part),
 edges AS (SELECT l_orderkey + 1 AS way_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INT) AS pos, l_partkey + 1 AS ref FROM lineitem),
 mem AS (SELECT o_custkey + 1 AS rel_id, o_orderkey + 1 AS oid, o_orderstatus AS role, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS k FROM orders),
 members AS (SELECT rel_id, 2 * k AS pos, 'w' AS type, oid AS ref, role FROM mem UNION ALL

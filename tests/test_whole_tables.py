@@ -84,7 +84,7 @@ def test_unions_of_all_areas(spark, rings, name, extent, pad, buffer, parts):
 
 
 def test_lines_over_all_nodes(spark):
-    at = {r["id"]: (r["lon"], r["lat"]) for r in D.nodes(spark, SF, missing=False).collect()}
+    at = {r["id"]: (r["lon"], r["lat"]) for r in D.nodes(spark, SF).collect()}
     want = {}
     for r in D.ways(spark, SF).collect():
         pts = [at[n] for n in r["nodes"]]
