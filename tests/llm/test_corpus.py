@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -345,6 +346,42 @@ def test_fingerprints(spark, docs):
     assert imatch.compare_edits(empty(spark)).count() == 0
 
 
+def test_fingerprints_equal_brute_force(spark, docs):
+    import regex
+    import xxhash
+
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(f"T{int(v)}" for v in rng.zipf(1.2, int(rng.integers(0, 300))) % 700), None, None, None, None, None) for k in range(100, 220)]
+    df = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(frame(spark, rows, DOCS))
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    words = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    seen = Counter(w for t in texts.values() for w in words(t))
+    band = {w for w, n in seen.items() if max(2, 0.01 * len(texts)) <= n <= 0.25 * len(texts)}
+
+    def number(s):
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        return h - (1 << 64) if h >> 63 else h
+
+    def prints(t):
+        used = sorted(words(t) & band or words(t))
+        groups = [[w for w in used if number(w) % 32 == i] for i in range(32)]
+        groups += [[w for w in used if (number(w) >> 40) % 16 == 0 and (number(w) >> 20) % 16 == i] for i in range(16)]
+        return [f"{number(' '.join(g)) % (1 << 64):x}" if g else "-" for g in groups]
+
+    def near(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-", "-")]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    order, got = sorted(texts, reverse=True), {r["doc_id"]: r for r in imatch.compare_edits(df).collect()}
+    assert set(got) == set(texts) and 50 < len(band) < len(seen)
+    for k, i in enumerate(order):
+        t, follow = texts[i], texts[order[(k + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + follow[: len(t) // 2]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (".".join(prints(t)), ".".join(prints(edited)))
+        assert got[i]["near_edited"] == pytest.approx(near(prints(t), prints(edited)))
+        assert got[i]["near_next"] == pytest.approx(near(prints(t), prints(follow)))
+
+
 def test_components_of_long_paths(spark):
     from mapweave.llm.components import connected_components
 
