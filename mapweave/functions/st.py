@@ -69,6 +69,10 @@ intersects, equals = _pair(S.intersects, "boolean"), _pair(lambda a, b: a == b,
 symmetric_difference = _pair(lambda a, b: [S.to_ewkb(p) for p in S.difference_tiles_of(a, b)], "array<binary>")
 
 
+inscribed_width = _scalar(S.inscribed_width, "double")
+spans_within = _pair(lambda a, b: [{"a": x, "b": y} for x, y in S.spans_within(a, b)], "array<struct<a:double,b:double>>")
+
+
 def as_hex(geom: Column | str) -> Column:
     return F.hex(geom)
 

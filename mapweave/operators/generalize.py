@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
+from ..functions import st
 from ..functions.coords import EARTH, tile_box
 
 
@@ -74,6 +75,56 @@ def river_merge(edges: DataFrame) -> DataFrame:
     return edges.join(ends.select(F.col("p").alias("a"), F.col("degree").alias("from_degree")), "a").join(ends.select(F.col("p").alias("b"), F.col("degree").alias("to_degree")), "b")
 
 
+def river_chains(lines: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(way_id, width, pts): segments of lines (way_id, width, pts) joined wherever one ends, one begins and no other meets.
+
+    A chain has the id of its first segment's way and the largest width (null: 0).
+    A ring without a branch begins at its smallest point. Chains are found by
+    doubling: in round k a segment knows the one 2^k before it, so rounds grow
+    with the logarithm of the longest chain; ``store`` writes a round's table
+    under a name and reads it back. Empty: empty.
+    """
+    n = F.size("pts")
+    seg = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(k.alias("k"), F.element_at("pts", k).alias("a"), F.element_at("pts", k + 1).alias("b")))
+    segs = lines.where(n >= 2).select("way_id", F.coalesce("width", F.lit(0.0)).alias("width"), F.explode(seg).alias("s"))
+    segs = store(segs.select(F.struct("way_id", "s.k").alias("id"), "width", "s.a", "s.b").where("a <> b"), "segments")
+    ends = segs.select(F.col("a").alias("p"), F.lit(1).alias("out")).unionAll(segs.select("b", F.lit(0)))
+    through = ends.groupBy("p").agg(F.count("*").alias("n"), F.sum("out").alias("out")).where("n = 2 AND out = 1").select("p")
+    before = segs.select(F.col("b").alias("p"), F.col("id").alias("prev")).join(through, "p")
+    # at: the segment so many steps back; least: the smallest (point, id) from here to before it; done: at is the chain's first.
+    start = F.struct("a", "id")
+    now = segs.join(before.withColumnRenamed("p", "a"), "a", "left").select("id", F.coalesce("prev", "id").alias("at"), F.col("prev").isNotNull().cast("long").alias("steps"), start.alias("least"), F.col("prev").isNull().alias("done"))
+    now, k = store(now, "links-0"), 0
+    first = None
+    while True:
+        k += 1
+        back = now.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("least").alias("least2"), F.col("done").alias("done2"))
+        live = now.where("NOT done").join(back, "at").select(
+            "id", F.col("at2").alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("least", "least2").alias("least"), F.col("done2").alias("done"), (F.col("least2") < F.col("least")).alias("fell"))
+        now = store(now.where("done").withColumn("fell", F.lit(False)).unionByName(live), f"links-{k}")
+        left = now.agg(F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("live"), F.count_if(F.col("fell") & ~F.col("done")).alias("fell")).first()
+        now = now.drop("fell")
+        if left["live"] == 0:
+            break
+        if left["done"] == first and left["fell"] == 0:  # only rings are left: each is cut before its smallest point
+            ring = now.where("NOT done").select("id", F.col("least.id").alias("head")).join(before.join(segs.select("id", F.col("a").alias("p")), "p").select("id", "prev"), "id")
+            cut = F.col("id") == F.col("head")
+            ring = ring.select("id", F.when(cut, F.col("id")).otherwise(F.col("prev")).alias("at"), (~cut).cast("long").alias("steps"), F.struct(F.lit(None).cast(segs.schema["a"].dataType).alias("a"), "id").alias("least"), cut.alias("done"))
+            now = store(now.where("done").unionByName(ring), f"rings-{k}")
+        first = left["done"]
+    joined = now.select("id", F.col("at").alias("head"), "steps").join(segs, "id")
+    chain = joined.groupBy("head").agg(F.max("width").alias("width"), F.array_sort(F.collect_list(F.struct("steps", "a", "b"))).alias("s"))
+    return chain.select("head.way_id", "width", F.concat(F.array(F.element_at("s", 1)["a"]), F.transform("s", lambda v: v["b"])).alias("pts"))
+
+
+def rivers(lines: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(way_id, width, pts): chains of lines (way_id, width, pts), each as wide as the widest that flows into it."""
+    c = store(river_chains(lines, store).withColumn("from", F.element_at("pts", 1)).withColumn("to", F.element_at("pts", -1)), "chains")
+    wide = propagate_width(c.select("from", "to", "width"), lambda df, k: store(df, f"widths-{k}"))
+    inflow = wide.groupBy(F.col("to").alias("from")).agg(F.max("width").alias("w"))
+    return c.join(inflow, "from", "left").select("way_id", F.greatest("width", F.coalesce("w", "width")).alias("width"), "pts")
+
+
 def propagate_width(edges: DataFrame, store: Callable[[DataFrame, int], DataFrame], max_rounds: int = 10_000) -> DataFrame:
     """(from, to, width) with each width raised to the largest upstream; loops settle, since widths only rise.
 
@@ -93,15 +144,39 @@ def propagate_width(edges: DataFrame, store: Callable[[DataFrame, int], DataFram
     raise RuntimeError("widths did not settle")
 
 
-def river_widths(lines: DataFrame, areas: DataFrame) -> DataFrame:
-    """(way_id, width): of lines (way_id, len, x0..y1 box) within boxes of areas (x0..y1, width), the mean width weighted by length; others keep theirs."""
+def river_widths(lines: DataFrame, areas: DataFrame, size: float = 10.0) -> DataFrame:
+    """(way_id, width) of lines (way_id, width, geom): where it is null, that of the areas (area_id, width, geom) which cover the line.
+
+    A line of three points at least that the union of areas covers gets the mean
+    of their widths, weighted by the length within each (areas may overlap, the
+    sum is over the line's length) and leaving out areas that it also touches at
+    a lone point. Areas without a width have twice the radius of their largest
+    inscribed circle. Lines and areas meet by cells of ``size`` of their boxes;
+    only ids are dealt. Lines that are not covered keep null.
+    """
     from .spatial import cells
 
-    dealt = areas.select("x0", "y0", "x1", "y1", F.col("width").alias("area_width")).withColumn("cell", F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 10.0)))
-    at = lines.withColumn("cell", F.struct(F.floor(F.col("lx0") / 10.0).cast("int").alias("i"), F.floor(F.col("ly0") / 10.0).cast("int").alias("j")))
-    hit = at.join(dealt, "cell").where("lx0 >= x0 AND lx1 <= x1 AND ly0 >= y0 AND ly1 <= y1")
-    wide = hit.groupBy("way_id").agg((F.sum(F.col("len") * F.col("area_width")) / F.sum("len")).alias("w"))
-    return lines.join(wide, "way_id", "left").select("way_id", F.coalesce("w", "width").alias("width"))
+    wide = areas.select("area_id", F.col("geom").alias("area"), F.coalesce("width", st.inscribed_width("geom")).alias("area_width"))
+    asked = lines.where("width IS NULL").select("way_id", "geom", st.length("geom").alias("len")).where(st.n_points("geom") > 2)
+
+    def dealt(df, key, geom):
+        b = df.select(key, st.bbox(geom).alias("b")).where("b IS NOT NULL")
+        return b.withColumn("cell", F.explode(cells(F.col("b.x0"), F.col("b.y0"), F.col("b.x1"), F.col("b.y1"), size)))
+
+    hit = dealt(asked, "way_id", "geom").join(dealt(wide, "area_id", "area").withColumnRenamed("b", "c"), "cell")
+    hit = hit.where("b.x0 <= c.x1 AND b.x1 >= c.x0 AND b.y0 <= c.y1 AND b.y1 >= c.y0")
+    once = [F.col(f"cell.{i}") == F.floor(F.greatest(f"b.{v}", f"c.{v}") / size) for i, v in (("i", "x0"), ("j", "y0"))]
+    pairs = hit.where(once[0] & once[1]).select("way_id", "area_id")
+    # The kernel's work grows with pairs, not with bytes, by which adaptive execution would merge them into few tasks.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pairs.join(wide, "area_id").repartition(tasks, "way_id").join(asked, "way_id")
+    spans = met.select("way_id", "area_width", "len", st.spans_within("geom", "area").alias("s"))
+    thin = F.col("len") * 1e-9
+    spans = spans.withColumn("own", F.aggregate("s", F.lit(0.0), lambda v, p: v + p["b"] - p["a"])).withColumn("lone", F.exists("s", lambda p: p["b"] - p["a"] <= thin))
+    of = spans.groupBy("way_id").agg(F.max("len").alias("len"), F.sum(F.when(~F.col("lone"), F.col("own") * F.col("area_width"))).alias("sum"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+    reach = F.aggregate("s", F.lit(0.0), lambda v, p: F.when(p["a"] <= v + thin, F.greatest(v, p["b"])).otherwise(v))
+    got = of.where(reach >= F.col("len") - thin).select("way_id", (F.col("sum") / F.col("len")).alias("w"))
+    return lines.select("way_id", "width").join(got, "way_id", "left").select("way_id", F.coalesce("width", "w").alias("width"))
 
 
 # -- drawing ------------------------------------------------------------------------
@@ -240,7 +315,7 @@ def replace_tiles(old: DataFrame, tiles: DataFrame, new: DataFrame) -> DataFrame
     return old.join(tiles.select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct(), ["x", "y"], "left_anti").unionByName(new)
 
 
-STRATEGIES = {"vector-union": vector_union, "raster-union": raster_union, "builtup": raster_union, "rivers": propagate_width, "discrete-isolation": discrete_isolation, "tile-sql": tile_sql}
+STRATEGIES = {"vector-union": vector_union, "raster-union": raster_union, "builtup": raster_union, "rivers": rivers, "discrete-isolation": discrete_isolation, "tile-sql": tile_sql}
 
 
 def strategy(name: str) -> Callable:

@@ -569,13 +569,29 @@ def n5_discrete_isolation(spark, sf):
     return G.discrete_isolation(s).select("id", "irank", r6(F.col("discr_iso")).alias("discr_iso"), "dirank")
 
 
-@query("""SELECT w.way_id, round(coalesce(sum(len * a.width) / sum(len), max(w.len % 7)), 6) AS width FROM lines w LEFT JOIN (SELECT n_nationkey % 5 + 1 AS width, r.* FROM nation JOIN regions r ON n_name = name) a
-ON w.x0 >= a.x0 AND w.x1 <= a.x1 AND w.y0 >= a.y0 AND w.y1 <= a.y1 GROUP BY w.way_id""")
+_AREAS = "x0, y0, x1 - (n_nationkey % 3) * 4 AS x1, y1"
+
+
+@query(f""", ar AS (SELECT k, x0, y0, x1, y1, CASE WHEN k % 5 = 4 THEN least(x1 - x0, y1 - y0) ELSE k % 5 + 1 END AS width FROM (SELECT n_nationkey AS k, {_AREAS} FROM nation JOIN regions ON n_name = name)),
+sg AS (SELECT way_id, len, plon, plat, lon - plon AS dx, lat - plat AS dy, sqrt((lon - plon) * (lon - plon) + (lat - plat) * (lat - plat)) AS sz, sum(sqrt((lon - plon) * (lon - plon) + (lat - plat) * (lat - plat))) OVER (PARTITION BY way_id ORDER BY pts.k) AS e
+  FROM pts JOIN lines USING (way_id) WHERE plon IS NOT NULL AND n > 2 AND len % 7 >= 2),
+cl AS (SELECT way_id, ar.k AS ar, width, len, sz, e, greatest(0e0, CASE WHEN dx > 0 THEN (x0 - plon) / dx WHEN dx < 0 THEN (x1 - plon) / dx ELSE 0e0 END, CASE WHEN dy > 0 THEN (y0 - plat) / dy WHEN dy < 0 THEN (y1 - plat) / dy ELSE 0e0 END) AS lo,
+  least(1e0, CASE WHEN dx > 0 THEN (x1 - plon) / dx WHEN dx < 0 THEN (x0 - plon) / dx ELSE 1e0 END, CASE WHEN dy > 0 THEN (y1 - plat) / dy WHEN dy < 0 THEN (y0 - plat) / dy ELSE 1e0 END) AS hi
+  FROM sg JOIN ar ON (dx <> 0 OR plon BETWEEN x0 AND x1) AND (dy <> 0 OR plat BETWEEN y0 AND y1)),
+sp1 AS (SELECT way_id, ar, width, len, e - sz + lo * sz AS a, e - sz + hi * sz AS b FROM cl WHERE lo <= hi + 1e-9),
+sp2 AS (SELECT *, max(b) OVER (PARTITION BY way_id, ar ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM sp1),
+sp3 AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb + len * 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY way_id, ar ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM sp2),
+sp4 AS (SELECT way_id, ar, width, len, min(a) AS a, max(b) AS b FROM sp3 GROUP BY way_id, ar, width, len, g),
+own AS (SELECT way_id, len, ar, CASE WHEN NOT bool_or(b - a <= len * 1e-9) THEN sum(b - a) * any_value(width) END AS s FROM sp4 GROUP BY way_id, len, ar),
+cov AS (SELECT way_id FROM (SELECT way_id, len, a, b, max(b) OVER (PARTITION BY way_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM sp4) GROUP BY way_id, len HAVING min(a) <= len * 1e-9 AND max(b) >= len * (1 - 1e-9) AND NOT coalesce(bool_or(a > pb + len * 1e-9), false)),
+wide AS (SELECT way_id, sum(s) / len AS w FROM own WHERE way_id IN (SELECT way_id FROM cov) GROUP BY way_id, len)
+SELECT way_id, round(CASE WHEN len % 7 < 2 THEN len % 7 ELSE w END, 6) AS width FROM lines LEFT JOIN wide USING (way_id)""")
 def j13_river_widths(spark, sf):
-    """Widths of lines within areas."""
-    l = _lines(spark, sf).withColumn("b", C.bbox(F.col("line"))).select("way_id", C.length(F.col("line")).alias("len"), F.col("b.x0").alias("lx0"), F.col("b.y0").alias("ly0"), F.col("b.x1").alias("lx1"), F.col("b.y1").alias("ly1")).withColumn("width", F.col("len") % 7)
-    a = D.regions(spark, sf).join(D.table(spark, sf, "nation").selectExpr("n_name AS name", "CAST(n_nationkey % 5 + 1 AS DOUBLE) AS width"), "name")
-    return G.river_widths(l, a).select("way_id", r6(F.col("width")).alias("width"))
+    """Widths of lines that areas cover, by the length within each; areas without a width have their inscribed circle's."""
+    l = _lines(spark, sf).select("way_id", st.as_linestring("line").alias("geom"), (C.length(F.col("line")) % 7).alias("w")).select("way_id", "geom", F.when(F.col("w") < 2, F.col("w")).alias("width"))
+    box = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))])
+    a = D.regions(spark, sf).join(D.table(spark, sf, "nation").selectExpr("n_name AS name", "n_nationkey"), "name").selectExpr("n_nationkey", "CASE WHEN n_nationkey % 5 < 4 THEN CAST(n_nationkey % 5 + 1 AS DOUBLE) END AS width", "x0", "y0", "CAST(x1 - (n_nationkey % 3) * 4 AS DOUBLE) AS x1", "y1")
+    return G.river_widths(l, a.select(F.col("n_nationkey").alias("area_id"), "width", st.as_polygon(box).alias("geom")), 60.0).select("way_id", r6(F.col("width")).alias("width"))
 
 
 @query("""SELECT a, count(*) AS degree FROM (SELECT p.ref AS a FROM edges p JOIN edges q USING (way_id) WHERE q.pos = p.pos + 1 AND p.ref <> q.ref UNION ALL SELECT q.ref FROM edges p JOIN edges q USING (way_id) WHERE q.pos = p.pos + 1 AND p.ref <> q.ref) GROUP BY a""")
@@ -586,18 +602,37 @@ def n4_river_degrees(spark, sf):
     return e.select(F.explode(F.array(F.col("a.x").cast("long"), F.col("b.x").cast("long"))).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, l_suppkey + 1 + l_linenumber % 2 AS t FROM lineitem), w AS (SELECT f, t, max(CAST((f * 37) % 11 AS DOUBLE)) AS width FROM e GROUP BY f, t),
-p AS (SELECT f, t, width FROM w UNION SELECT w.f, w.t, p.width FROM p JOIN w ON w.f = p.t WHERE p.width > w.width) SELECT f AS "from", t AS "to", max(width) AS width FROM p GROUP BY f, t""", cte=False)
-def n4_river_propagation(spark, sf):
-    """Widths carried downstream."""
-    e = D.table(spark, sf, "lineitem").selectExpr("l_suppkey AS `from`", "l_suppkey + 1 + l_linenumber % 2 AS `to`").distinct().withColumn("width", F.expr("CAST((`from` * 37) % 11 AS DOUBLE)"))
-    path = W.scratch(spark, "rivers")
+def _store(spark, name):
+    """Writes tables below a new path of the shared folder and reads them back."""
+    path = W.scratch(spark, name)
 
     def store(df, k):
         df.write.parquet(f"{path}/{k}")
         return spark.read.schema(df.schema).parquet(f"{path}/{k}")
 
-    return G.propagate_width(e, store)
+    return store
+
+
+@query(f"""WITH RECURSIVE {D.CTE}, rl AS (SELECT way_id, way_id * 100 + pos AS a, coalesce(lead(way_id * 100 + pos) OVER (PARTITION BY way_id ORDER BY pos), way_id // 3 * 100) AS b, CAST(way_id * 37 % 11 AS DOUBLE) AS width FROM edges),
+through AS (SELECT p FROM (SELECT a AS p, 1 AS o FROM rl UNION ALL SELECT b, 0 FROM rl) GROUP BY p HAVING count(*) = 2 AND sum(o) = 1),
+walk AS (SELECT way_id, a AS f, b AS t, width, 2 AS n FROM rl WHERE a NOT IN (SELECT p FROM through) UNION ALL SELECT w.way_id, w.f, rl.b, greatest(w.width, rl.width), w.n + 1 FROM walk w JOIN rl ON rl.a = w.t WHERE w.t IN (SELECT p FROM through)),
+chain AS (SELECT way_id, f, max_by(t, n) AS t, max(width) AS width, max(n) AS n FROM walk GROUP BY way_id, f),
+flow AS (SELECT f, t, width FROM chain UNION ALL SELECT c.f, c.t, flow.width FROM flow JOIN chain c ON c.f = flow.t)
+SELECT way_id, f AS "from", c.t AS "to", CAST(n AS INT) AS n_points, (SELECT max(width) FROM flow WHERE flow.f = c.f) AS width FROM chain c""", cte=False)
+def n4_river_chains(spark, sf):
+    """Ways that flow into the way of a third of their number: segments joined to chains where none meet, widths carried downstream."""
+    last = F.struct((F.floor(F.col("id") / 3) * 100).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    w = D.ways(spark, sf).where("size(nodes) > 0").select(F.col("id").alias("way_id"), F.expr("CAST(id * 37 % 11 AS DOUBLE)").alias("width"), F.concat(F.transform("nodes", lambda n, k: F.struct((F.col("id") * 100 + k).cast("double").alias("x"), F.lit(0.0).alias("y"))), F.array(last)).alias("pts"))
+    end = lambda k: F.element_at("pts", k)["x"].cast("long")
+    return G.rivers(w, _store(spark, "rivers")).select("way_id", end(1).alias("from"), end(-1).alias("to"), F.size("pts").alias("n_points"), "width")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS f, l_suppkey + 1 + l_linenumber % 2 AS t FROM lineitem), w AS (SELECT f, t, max(CAST((f * 37) % 11 AS DOUBLE)) AS width FROM e GROUP BY f, t),
+p AS (SELECT f, t, width FROM w UNION SELECT w.f, w.t, p.width FROM p JOIN w ON w.f = p.t WHERE p.width > w.width) SELECT f AS "from", t AS "to", max(width) AS width FROM p GROUP BY f, t""", cte=False)
+def n4_river_propagation(spark, sf):
+    """Widths carried downstream."""
+    e = D.table(spark, sf, "lineitem").selectExpr("l_suppkey AS `from`", "l_suppkey + 1 + l_linenumber % 2 AS `to`").distinct().withColumn("width", F.expr("CAST((`from` * 37) % 11 AS DOUBLE)"))
+    return G.propagate_width(e, _store(spark, "rivers"))
 
 
 def _area_tiles(spark, sf):

@@ -341,7 +341,7 @@ def test_raster():
 ORACLE = entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["way_lines", "j2_relation_members", "j7_locator", "p19_legacy_numbers", "a8_roll_up", "u2_changed_segments", "c6_incremental"])
+@pytest.mark.parametrize("name", ["way_lines", "j2_relation_members", "j7_locator", "p19_legacy_numbers", "a8_roll_up", "u2_changed_segments", "c6_incremental", "j13_river_widths", "n4_river_chains"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 

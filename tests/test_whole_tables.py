@@ -123,3 +123,16 @@ def test_layers_of_any_size(spark):
     texts = [" 3x", "-2", "", None, "x", "99999999999999999999", "-99999999999999999999", "4294967297", "12345678901"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.prefix_int(F.col("s"))).collect()]
     assert got == [3, -2, 0, 0, 0, -1, 0, 1, -539222987]
+
+
+def test_chains_with_rings_and_branches(spark, tmp_path):
+    def store(df, k):
+        df.write.parquet(f"{tmp_path}/{k}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{k}")
+
+    ring = [(5.0, 9.0), (4.0, 9.0), (3.0, 9.0), (6.0, 9.0), (5.0, 9.0)]
+    long = [(float(k), 0.0) for k in range(40)]
+    lines = [(1, 2.0, long[:20]), (2, None, long[19:]), (3, 7.0, [(5.0, 5.0), (39.0, 0.0)]), (4, 1.0, [(39.0, 0.0), (39.0, -1.0), (39.0, -1.0), (39.0, -2.0)]), (5, 3.0, ring), (6, 9.0, [(0.0, 50.0)])]
+    df = spark.createDataFrame([(i, w, [{"x": x, "y": y} for x, y in p]) for i, w, p in lines], "way_id long, width double, pts array<struct<x:double,y:double>>")
+    got = {r["way_id"]: (r["width"], [(p["x"], p["y"]) for p in r["pts"]]) for r in G.rivers(df, store).collect()}
+    assert got == {1: (2.0, long), 3: (7.0, lines[2][2]), 4: (7.0, [(39.0, 0.0), (39.0, -1.0), (39.0, -2.0)]), 5: (3.0, [ring[2], ring[3], ring[0], ring[1], ring[2]])}
