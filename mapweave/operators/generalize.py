@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -250,23 +252,11 @@ def raster_union(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
     """
     width = EARTH / (1 << zoom)
     pad = int(extent * margin)
-    n = extent + 2 * pad
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty, grp = key
         x0, y1 = tx * width - EARTH / 2, EARTH / 2 - ty * width
-        layers: dict = {}
-        for layer, raw in zip(pdf["layer"], pdf["geom"], strict=True):
-            canvas = layers.setdefault(layer if builtup else "", np.zeros((n, n), bool))
-            for p in S.from_ewkb(raw).parts:
-                for poly in p.parts:
-                    if poly.kind == "POLYGON":
-                        one = np.zeros((n, n), bool)
-                        fill(one, [np.array([((x - x0) / width * extent + pad, (y1 - y) / width * extent + pad) for x, y in r]) for r in poly.data])
-                        canvas |= one
-        whole = np.zeros((n, n), bool)
-        for c in layers.values():
-            whole |= open_close(c, buffer)
+        whole = _union(_layers(pdf, x0, y1, width, extent, pad, builtup), buffer)
         inner = whole[pad : pad + extent, pad : pad + extent]
         out = []
         for rings in trace(inner, least):
@@ -278,6 +268,70 @@ def raster_union(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
     return tiles.groupBy("tx", "ty", "grp").applyInPandas(run, RASTER)
 
 
+def _layers(pdf: pd.DataFrame, x0: float, y1: float, width: float, extent: int, pad: int, apart: bool) -> list[np.ndarray]:
+    """A tile's shapes drawn one by one, on one canvas or on one for each layer."""
+    n = extent + 2 * pad
+    layers: dict = {}
+    for layer, raw in zip(pdf["layer"], pdf["geom"], strict=True):
+        canvas = layers.setdefault(layer if apart else "", np.zeros((n, n), bool))
+        for p in S.from_ewkb(raw).parts:
+            for poly in p.parts:
+                if poly.kind == "POLYGON":
+                    one = np.zeros((n, n), bool)
+                    fill(one, [np.array([((x - x0) / width * extent + pad, (y1 - y) / width * extent + pad) for x, y in r]) for r in poly.data])
+                    canvas |= one
+    return list(layers.values()) or [np.zeros((n, n), bool)]
+
+
+def _union(layers: list[np.ndarray], buffer: int) -> np.ndarray:
+    return np.logical_or.reduce([open_close(c, buffer) for c in layers])
+
+
+def png(c: np.ndarray) -> bytes:
+    """A canvas as a grey image of eight bits, set pixels white."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.pad(c.astype(np.uint8) * 255, ((0, 0), (1, 0))).tobytes()  # before each line the number of its filter: none
+    head = struct.pack(">IIBBBBB", c.shape[1], c.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _corner(tx: int, ty: int, zoom: int, extent: int, pad: int) -> tuple[float, float, float]:
+    """A pixel's size, and the upper left corner of a tile with its margin."""
+    pixel = EARTH / (1 << zoom) / extent
+    return pixel, tx * extent * pixel - EARTH / 2 - pad * pixel, EARTH / 2 - ty * extent * pixel + pad * pixel
+
+
+def world_file(tx: int, ty: int, zoom: int, extent: int, pad: int) -> str:
+    """The text beside an image that places it: pixel sizes, no rotation, the centre of the upper left pixel."""
+    pixel, x, y = _corner(tx, ty, zoom, extent, pad)
+    return f"{pixel}\n0.0\n0.0\n-{pixel}\n{x + pixel / 2}\n{y - pixel / 2}\n"
+
+
+def raster_wkb(c: np.ndarray, tx: int, ty: int, zoom: int, pad: int) -> bytes:
+    """A canvas in the binary format of spatial databases: a header, one band of eight bits without a missing value."""
+    n = c.shape[0]
+    pixel, x, y = _corner(tx, ty, zoom, n - 2 * pad, pad)
+    return struct.pack("<BHH6diHHBB", 1, 0, 1, pixel, -pixel, x, y, 0.0, 0.0, 3857, n, n, 4, 0) + (c.astype(np.uint8) * 255).tobytes()
+
+
+def raster_files(tiles: DataFrame, zoom: int, extent: int = 256, margin: float = 0.1, buffer: int = 2, builtup: bool = False) -> DataFrame:
+    """(tx, ty, grp, name, png, wld, wkb): what raster_union drew, to look at: before it closed gaps (names end in i) and after (o).
+
+    A name is tile, group and stage; a writer adds folder and ending.
+    """
+    width = EARTH / (1 << zoom)
+    pad = int(extent * margin)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tx, ty, grp = key
+        layers = _layers(pdf, tx * width - EARTH / 2, EARTH / 2 - ty * width, width, extent, pad, builtup)
+        name = f"{tx}-{ty}-{grp}-" if isinstance(grp, str) and grp else f"{tx}-{ty}-"
+        two = (("i", np.logical_or.reduce(layers)), ("o", _union(layers, buffer)))
+        return pd.DataFrame([(tx, ty, grp, name + v, png(c), world_file(tx, ty, zoom, extent, pad), raster_wkb(c, tx, ty, zoom, pad)) for v, c in two], columns=["tx", "ty", "grp", "name", "png", "wld", "wkb"])
+
+    return tiles.groupBy("tx", "ty", "grp").applyInPandas(run, "tx int, ty int, grp string, name string, png binary, wld string, wkb binary")
+
+
 def vector_union(tiles: DataFrame, zoom: int, margin: float = 0.0, buffer: int = 1, extent: int = 512) -> DataFrame:
     """As raster_union on a finer canvas: there is no exact buffering here, so the outline is approximated within a pixel."""
     return raster_union(tiles, zoom, extent, margin, buffer)

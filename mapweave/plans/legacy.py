@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce as K
 from ..functions import tags as T
 from ..sources.textfiles import StyleRule
+from .script import TagScript
 
 
 def _rule_hit(rule: StyleRule, key: Column) -> Column:
@@ -50,25 +51,42 @@ def typed(tags: Column, rule: StyleRule) -> Column:
     return (K.legacy_int(v) if rule.type in ("int4", "int8", "integer") else K.legacy_real(v) if rule.type == "real" else v).alias(rule.key)
 
 
-def tables(nodes: DataFrame, ways: DataFrame, relations: DataFrame, rules: list[StyleRule], hstore: str = "none", line_length: float = 100_000.0, **options) -> dict[str, DataFrame]:
+def tables(nodes: DataFrame, ways: DataFrame, relations: DataFrame, rules: list[StyleRule], hstore: str = "none", line_length: float = 100_000.0, script: TagScript | None = None, **options) -> dict[str, DataFrame]:
     """point, line, polygon, roads of nodes (id, tags, geom) and of ways and relations (id, tags, line and area as EWKB or null).
 
     Relations have negative ids. Boundaries give lines and polygons, routes only
-    lines, multipolygons only polygons; an area that could not be built gives no row.
+    lines, multipolygons only polygons; an area that could not be built gives no
+    row. A ``script`` decides on tags in place of the style, which then only names
+    the columns; it sees relations' ``member_tags`` and ``roles`` where they have them.
     """
     from ..functions import st
 
     def prepare(df, kind):
-        return df.withColumn("f", filter_tags(F.col("tags"), rules, kind, hstore, **options)).where("f.keep").withColumn("tags", F.col("f.tags")).withColumn("polygon", F.col("f.polygon"))
+        if script:
+            f = (script.node if kind == "n" else script.way)(F.col("tags"))
+        else:
+            f = filter_tags(F.col("tags"), rules, kind, hstore, **options)
+        df = df.withColumn("f", f).where("f.keep")
+        more = {"polygon": F.col("f.polygon")} if kind == "w" or not script else {}
+        return df.withColumns({"tags": F.col("f.tags"), "road": F.col("f.roads") if script and kind == "w" else T.is_road(F.col("f.tags")), **more})
 
     def shape(df, kinds, geom):
         cols = style_columns(rules, kinds)
+        z = F.coalesce(K.legacy_int(T.tag(F.col("tags"), "z_order")), F.lit(0)) if script else T.z_order(F.col("tags"))
         more = [T.hstore(F.col("tags"), hstore, [r.key for r in cols]).alias("tags")] if hstore != "none" else []
-        return df.where(F.col(geom).isNotNull()).select(F.col("oid").alias("osm_id"), *[typed(F.col("tags"), r) for r in cols], *more, T.z_order(F.col("tags")).alias("z_order"), T.is_road(F.col("tags")).alias("road"), F.col(geom).alias("way"))
+        return df.where(F.col(geom).isNotNull()).select(F.col("oid").alias("osm_id"), *[typed(F.col("tags"), r) for r in cols if r.key != "z_order"], *more, z.alias("z_order"), F.col("road"), F.col(geom).alias("way"))
 
     point = shape(prepare(nodes, "n").withColumn("oid", F.col("id")), "n", "geom").drop("road", "z_order")
     w = prepare(ways, "w").withColumn("oid", F.col("id"))
-    r = relations.withColumn("rt", T.relation_tags(F.col("tags"))).where("rt.keep").withColumn("boundary", F.col("rt.boundary")).withColumn("area_only", F.col("rt.polygon")).withColumn("tags", F.col("rt.tags")).withColumn("oid", -F.col("id"))
+    r = relations.withColumn("oid", -F.col("id"))
+    if script:
+        r = r.withColumn("rt", script.relation(F.col("tags"))).where("rt.keep")
+        has = lambda c, kind: F.col(c) if c in relations.columns else F.array().cast(kind)
+        r = r.withColumn("rt", script.member(F.col("rt.tags"), has("member_tags", "array<map<string,string>>"), has("roles", "array<string>"))).where("rt.keep")
+        r = r.withColumn("road", F.col("rt.roads"))
+    else:
+        r = r.withColumn("rt", T.relation_tags(F.col("tags"))).where("rt.keep").withColumn("road", T.is_road(F.col("rt.tags")))
+    r = r.withColumns({"boundary": F.col("rt.boundary"), "area_only": F.col("rt.polygon"), "tags": F.col("rt.tags")})
     cut = lambda df: df.withColumn("piece", F.explode(st.split_multi(st.segmentize("line", line_length)))).drop("line").withColumnRenamed("piece", "line")
     lines = shape(cut(w.where("NOT polygon AND line IS NOT NULL")), "w", "line").unionByName(shape(cut(r.where("NOT area_only AND line IS NOT NULL")), "w", "line"))
     polygons = shape(w.where("polygon"), "w", "area").unionByName(shape(r.where("boundary OR area_only"), "w", "area"))

@@ -775,6 +775,20 @@ def p13_style_filter(spark, sf):
     return f.groupBy(F.lit("line").alias("t"), T.tag(F.col("f.tags"), "status").alias("status")).agg(F.count("*").alias("n"), F.sum(F.col("f.polygon").cast("long")).alias("polygons"))
 
 
+@query(f"""SELECT o_orderkey AS id, k <> 5 OR o_orderkey % 7 = 0 OR o_orderkey % 4 = 0 AS keep, o_orderkey % 4 = 0 AND o_orderkey % 8 <> 4 AS polygon, k IN (0, 1, 4) OR o_orderkey % 7 = 0 AS roads,
+CASE WHEN k <> 5 OR o_orderkey % 7 = 0 OR o_orderkey % 4 = 0 THEN CAST(CASE WHEN o_orderkey % 7 = 0 THEN 10 * (o_orderkey % 3 - 1) + 5 ELSE 0 END + CASE k WHEN 0 THEN 9 WHEN 1 THEN 6 WHEN 2 THEN 3 WHEN 4 THEN 8 ELSE 0 END
+  + CASE o_orderstatus WHEN 'F' THEN CASE WHEN k < 5 THEN 10 ELSE 0 END WHEN 'O' THEN CASE WHEN k < 5 THEN -10 ELSE 0 END ELSE 0 END AS VARCHAR) END AS z_order, 1 + CAST(k < 5 AS INT) * 3 + CAST(o_orderkey % 7 = 0 AS INT) * 2 + CAST(o_orderkey % 4 = 0 AS INT) + CAST(o_orderkey % 8 = 4 AS INT) - CAST(NOT (k <> 5 OR o_orderkey % 7 = 0 OR o_orderkey % 4 = 0) AS INT) AS n
+FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""", cte=False)
+def p18_script_transform(spark, sf):
+    """Ways through the standard tag script: what is kept, areas, roads, drawing order, and how many tags are left."""
+    from .script import STANDARD
+
+    o = D.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"""map_filter(map('highway', {_ROAD}, 'bridge', if({_ROAD} IS NULL, null, if(o_orderstatus = 'F', 'yes', '1')), 'tunnel', if({_ROAD} IS NULL, null, if(o_orderstatus = 'O', 'true', 'no')),
+      'railway', if(o_orderkey % 7 = 0, 'rail', null), 'layer', if(o_orderkey % 7 = 0, CAST(o_orderkey % 3 - 1 AS STRING), null), 'building', if(o_orderkey % 4 = 0, 'yes', null), 'area', if(o_orderkey % 8 = 4, 'no', null), 'note', 'x', 'source', 'y'), (k, v) -> v IS NOT NULL) AS tags""")
+    s = o.select("id", STANDARD.way(F.col("tags")).alias("s"))
+    return s.select("id", "s.keep", "s.polygon", "s.roads", T.tag(F.col("s.tags"), "z_order").alias("z_order"), F.size("s.tags").alias("n"))
+
+
 @query("""SELECT 'point' AS t, count(*) AS n FROM nodes UNION ALL SELECT 'line', count(*) FROM lines""")
 def k14_legacy_tables(spark, sf):
     """The four tables of the older output."""

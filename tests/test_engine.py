@@ -5,6 +5,7 @@ import struct
 import zlib
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,8 +325,6 @@ def test_isolation_blocks(spark):
 
 
 def test_raster():
-    import numpy as np
-
     c = np.zeros((40, 40), bool)
     G.fill(c, [np.array([(5.0, 5.0), (25.0, 5.0), (25.0, 25.0), (5.0, 25.0), (5.0, 5.0)])])
     assert c.sum() == 400
@@ -341,7 +340,7 @@ def test_raster():
 ORACLE = entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", ["way_lines", "j2_relation_members", "j7_locator", "p19_legacy_numbers", "a8_roll_up", "u2_changed_segments", "c6_incremental", "j13_river_widths", "n4_river_chains"])
+@pytest.mark.parametrize("name", ["way_lines", "j2_relation_members", "j7_locator", "p19_legacy_numbers", "a8_roll_up", "u2_changed_segments", "c6_incremental", "j13_river_widths", "n4_river_chains", "p18_script_transform"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
@@ -356,3 +355,47 @@ def test_queries_equal_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(ORACLE) <= set(entry.queries())
+
+
+def test_legacy_tables_by_script(spark):
+    from dataclasses import replace
+
+    from mapweave.plans import legacy
+    from mapweave.plans.script import STANDARD
+    from mapweave.sources.textfiles import parse_style
+
+    rules, _ = parse_style("node,way name text linear\nway z_order int4 linear\n")
+    line, area, spot = (bytearray(S.to_ewkb(g)) for g in (S.line([(0, 0), (1, 1)]), S.Geom("POLYGON", [[(0, 0), (1, 0), (1, 1), (0, 0)]]), S.point(1, 2)))
+    kinds = "id long, tags map<string,string>, line binary, area binary"
+    nodes = spark.createDataFrame([(1, {"name": "a"}, spot), (2, {"note": "b"}, spot), (3, {}, spot)], "id long, tags map<string,string>, geom binary")
+    ways = spark.createDataFrame([(1, {"highway": "motorway", "layer": " 1.5 ", "tunnel": "yes"}, line, area), (2, {"building": "yes"}, line, area), (3, {"leisure": "x", "area": "0"}, line, area), (4, {"FIXME": "x"}, line, area),
+                                  (5, {"railway": "", "layer": "up", "bridge": "1"}, line, area), (6, None, line, area)], kinds)
+    rels = spark.createDataFrame([(1, {"type": "multipolygon", "name": "m"}, line, area), (2, {"type": "boundary", "boundary": "administrative"}, line, area), (3, {"type": "site", "name": "s"}, line, area), (4, {"type": "route"}, line, area)], kinds)
+    t = legacy.tables(nodes, ways, rels, rules, script=STANDARD)
+    ids = lambda t, k: sorted((r["osm_id"], r["z_order"]) if "z_order" in r else r["osm_id"] for r in map(lambda r: r.asDict(), t[k].collect()))
+    assert ids(t, "point") == [1]
+    assert ids(t, "line") == [(-4, 0), (-2, 0), (1, 14), (3, 0), (5, 5)]
+    assert ids(t, "polygon") == [(-2, 0), (-1, 0), (2, 0)]
+    assert ids(t, "roads") == [(-2, 0), (1, 14), (5, 5)]
+    own = replace(STANDARD, node=lambda tags: F.struct((F.size(tags) == 0).alias("keep"), F.create_map(F.lit("name"), F.lit("none")).alias("tags")))
+    assert [(r["osm_id"], r["name"]) for r in legacy.tables(nodes, ways, rels, rules, script=own)["point"].collect()] == [(3, "none")]
+
+
+def test_raster_files(spark):
+    from mapweave.operators.generalize import png, raster_files, raster_wkb, world_file
+
+    canvas = np.zeros((6, 6), bool)
+    canvas[1:3, 2] = True
+    raw = png(canvas)
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", raw[16:24]) == (6, 6)
+    size = struct.unpack(">I", raw[33:37])[0]
+    assert np.array_equal(np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(6, 7)[:, 1:] == 255, canvas)
+    wkb = raster_wkb(canvas, 0, 0, 1, 1)
+    assert len(wkb) == 63 + 36 and struct.unpack("<BHH6diHH", wkb[:61])[-3:] == (3857, 6, 6) and wkb[61:63] == b"\x04\x00" and np.array_equal(np.frombuffer(wkb[63:], np.uint8) == 255, canvas.ravel())
+    width, left, top = (float(v) for v in np.array(world_file(0, 0, 1, 4, 1).split(), float)[[0, 4, 5]])
+    assert (left, top) == pytest.approx((-20037508.34 - width / 2, 20037508.34 + width / 2), abs=0.01)
+    ring = [(-1e7, 1e7), (-5e6, 1e7), (-5e6, 1.5e7), (-1e7, 1.5e7), (-1e7, 1e7)]
+    tiles = spark.createDataFrame([(0, 0, None, "", bytearray(S.to_ewkb(S.Geom("POLYGON", [ring], 3857))))] * 2, "tx int, ty int, grp string, layer string, geom binary")
+    got = raster_files(tiles, 1, extent=64, margin=0.1).collect()
+    assert [(r["name"], len(r["wkb"])) for r in got] == [("0-0-i", 63 + 76 * 76), ("0-0-o", 63 + 76 * 76)]
+    assert np.frombuffer(got[0]["wkb"][63:], np.uint8).astype(bool).sum() == pytest.approx((5e6 / 20037508.34 * 64) ** 2, rel=0.15)
