@@ -132,6 +132,31 @@ class TableDef:
         ids = ([f"{self.type_column} STRING"] if self.type_column else []) + ([f"{self.id_column} BIGINT"] if self.id_column else [])
         return ", ".join(ids + [f"{c.name} {c.spark_type}" + (" NOT NULL" if c.not_null else "") for c in self.columns])
 
+    def id_index(self, updatable: bool = False) -> IndexDef | None:
+        """The index on ids, or on x and y of tile tables: with ``auto`` only where the table is to be updated."""
+        keys = ("x", "y") if self.kind == "tile" else tuple(c for c in (self.type_column, self.id_column) if c)
+        if not keys or (self.create_index == "auto" and not updatable):
+            return None
+        return IndexDef(keys, unique=self.create_index in ("unique", "primary_key"))
+
+    def finish(self, df: DataFrame, path: str, updatable: bool = False, partitions: int | None = None) -> DataFrame:
+        """Write rows to Parquet and read them back, in the order of the id index where there is one.
+
+        Ranges of keys then lie in few files and row groups, whose statistics
+        stand in for the index. Keys that repeat under a unique index, or are null
+        under a primary key, are an error, before anything is written.
+        """
+        index = self.id_index(updatable)
+        if index and index.unique and not index.violations(df).isEmpty():
+            raise ValueError(f"table {self.name}: keys repeat")
+        if index and self.create_index == "primary_key" and not df.where(" OR ".join(f"{c} IS NULL" for c in index.columns)).isEmpty():
+            raise ValueError(f"table {self.name}: a key is null")
+        out = df
+        if index:
+            out = (df.repartitionByRange(partitions, *index.columns) if partitions else df.repartitionByRange(*index.columns)).sortWithinPartitions(*index.columns)
+        out.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def rows(self, objects: DataFrame, kind: str, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
         """(accepted, rejected) rows of objects (with ``id``) of a kind (n, w, r); columns not given are null."""
         if not self.accepts(kind):

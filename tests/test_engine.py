@@ -399,3 +399,27 @@ def test_raster_files(spark):
     got = raster_files(tiles, 1, extent=64, margin=0.1).collect()
     assert [(r["name"], len(r["wkb"])) for r in got] == [("0-0-i", 63 + 76 * 76), ("0-0-o", 63 + 76 * 76)]
     assert np.frombuffer(got[0]["wkb"][63:], np.uint8).astype(bool).sum() == pytest.approx((5e6 / 20037508.34 * 64) ** 2, rel=0.15)
+
+
+def test_tables_are_finished_in_order(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    tiles = TableDef("t", "tile", [ColumnDef("n", "int")])
+    assert tiles.id_index() is None and tiles.id_index(updatable=True).columns == ("x", "y") and TableDef("t", "tile", create_index="always").id_index().columns == ("x", "y")
+    rows = spark.range(200).selectExpr("CAST(id * 7 % 20 AS INT) AS x", "CAST(id % 10 AS INT) AS y", "CAST(id AS INT) AS n").repartition(3)
+    got = tiles.finish(rows, f"{tmp_path}/t", updatable=True, partitions=4)
+    assert sorted(got.collect()) == sorted(rows.collect())
+    ranges = []
+    for f in sorted((tmp_path / "t").glob("*.parquet")):
+        keys = [(r["x"], r["y"]) for r in pq.read_table(f).to_pylist()]
+        assert keys == sorted(keys)
+        ranges += [(keys[0], keys[-1])] if keys else []
+    ranges.sort()
+    assert len(ranges) == 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    for how, ids in (("unique", "1, 2, 2"), ("primary_key", "1, 2, NULL")):
+        t = TableDef("u", "way", [ColumnDef("n", "int")], id_column="way_id", create_index=how)
+        with pytest.raises(ValueError, match="table u"):
+            t.finish(spark.sql(f"SELECT explode(CAST(array({ids}) AS ARRAY<BIGINT>)) AS way_id, 1 AS n"), f"{tmp_path}/{how}")
+        assert not (tmp_path / how).exists()
+    free = TableDef("u", "way", [ColumnDef("n", "int")], id_column="way_id", create_index="unique")
+    assert free.finish(spark.sql("SELECT explode(CAST(array(1, NULL, NULL) AS ARRAY<BIGINT>)) AS way_id, 1 AS n"), f"{tmp_path}/free").count() == 3
