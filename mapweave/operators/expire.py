@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +168,68 @@ def line_tiles(pts: Column, zoom: int, buffer: float = 0.0, step: float = 0.4) -
     return F.array_distinct(F.flatten(F.transform(F.transform(segments(at), ends), boxes)))
 
 
+def _step_tiles(line, ax, ay, bx, by, width: int, buffer: float, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, x, y), distinct, of segments (the number of their line, ends in tiles): what ``line_tiles`` does, on arrays."""
+    turn = (ax > bx) | ((ax == bx) & (ay > by))
+    ax, ay, bx, by = np.where(turn, bx, ax), np.where(turn, by, ay), np.where(turn, ax, bx), np.where(turn, ay, by)
+    over = bx - ax > width / 2
+    ax, ay, bx, by = np.where(over, bx, ax), np.where(over, by, ay), np.where(over, ax + width, bx), np.where(over, ay, by)
+    far = np.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    n = (far / step).astype(np.int64)
+    some = np.where(far > 0, far, 1.0)
+    mx, my = (bx - ax) / some * step, (by - ay) / some * step
+    of = np.repeat(np.arange(len(n)), n + 1)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    last = k == n[of]
+    ends = []
+    for begin, move, end in ((ax, mx, bx), (ay, my, by)):
+        m = move[of]
+        u = begin[of] + k * m
+        v = np.where(last, end[of], u + m)
+        ends += [(np.minimum(u, v) - buffer).astype(np.int64), (np.maximum(u, v) + buffer).astype(np.int64)]
+    x0, x1, y0, y1 = ends
+    y0, y1 = np.clip(y0, 0, width - 1), np.clip(y1, 0, width - 1)
+    new = np.ones(len(of), bool)  # a step in the same box as the one before adds nothing
+    new[1:] = (of[1:] != of[:-1]) | (x0[1:] != x0[:-1]) | (x1[1:] != x1[:-1]) | (y0[1:] != y0[:-1]) | (y1[1:] != y1[:-1])
+    x0, x1, y0, y1, of = x0[new], x1[new], y0[new], y1[new], line[of[new]]
+    codes = []
+    for dx in range(int((x1 - x0).max(initial=-1)) + 1):
+        for dy in range(int((y1 - y0).max(initial=-1)) + 1):
+            o = (x0 + dx <= x1) & (y0 + dy <= y1)
+            codes.append((of[o] * width + (x0[o] + dx) % width) * width + y0[o] + dy)
+    code = np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+    return code // (width * width), code // width % width, code % width
+
+
+def line_tile_rows(lines: DataFrame, key: str, line: str, zoom: int, buffer: float = 0.0, step: float = 0.4, block: int = 200_000) -> DataFrame:
+    """(key, x, y): the tiles of ``line_tiles`` as rows, each line's once; steps are made about ``block`` at a time in numpy."""
+    width = 1 << zoom
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            l = b.column(1)
+            p, size = l.flatten(), np.diff(l.offsets.to_numpy())
+            x, y = (p.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+            x, y = width * (0.5 + x / EARTH), width * (0.5 - y / EARTH)
+            of = np.repeat(np.arange(len(size)), size)
+            a = np.nonzero(of[1:] == of[:-1])[0]
+            # Blocks end where a line does: a line's tiles are made distinct at once.
+            dx = np.abs(x[a + 1] - x[a])
+            steps = np.cumsum((np.where(dx > width / 2, width - dx, dx) + np.abs(y[a + 1] - y[a])) / step + 1)
+            until = np.searchsorted(steps, np.arange(block, (steps[-1] if len(a) else 0) + block, block))
+            until = np.unique(np.searchsorted(of[a], of[a][np.minimum(until, len(a) - 1)], "right")) if len(a) else []
+            begin = 0
+            for end in until:
+                s = a[begin:end]
+                begin = end
+                at, tx, ty = _step_tiles(of[s], x[s], y[s], x[s + 1], y[s + 1], width, buffer, step)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(tx.astype(np.int32)), pa.array(ty.astype(np.int32))], names=[key, "x", "y"])
+
+    df = lines.select(key, line).where(F.col(line).isNotNull())
+    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, x int, y int")
+
+
 def deleted_tiles(objects: DataFrame, deleted: DataFrame, zoom: int, config: ExpireConfig = ExpireConfig(), geom: str = "geom") -> DataFrame:
     """(id, x, y): tiles of what objects (id, geometry in 3857) were, of those that are ``deleted`` (id)."""
     gone = objects.join(deleted.select("id").distinct(), "id", "left_semi")

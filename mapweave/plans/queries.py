@@ -536,9 +536,8 @@ def _mercator_line(spark, sf):
 
 @query()
 def e2_line_tiles(spark, sf):
-    """Tiles along lines, in Catalyst."""
-    t = _mercator_line(spark, sf).select("way_id", F.explode(E.line_tiles(F.col("line"), 6)).alias("t"))
-    return t.select("way_id", "t.x", "t.y").distinct()
+    """Tiles along lines."""
+    return E.line_tile_rows(_mercator_line(spark, sf), "way_id", "line", 6)
 
 
 @query()
