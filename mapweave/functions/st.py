@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+from . import batch as B
 from . import shapes as S
 
 POINT = "struct<x:double,y:double>"
@@ -34,6 +35,18 @@ def arrow_fn(fn: Callable, kind: str) -> Callable[..., Column]:
     return call
 
 
+def _arrow_batch(fn: Callable[[pa.Array], pa.Array], kind: str) -> Callable[[Column | str], Column]:
+    """A UDF by a kernel for whole arrays."""
+    def call(col: Column | str) -> Column:
+        def run(a: pa.Array) -> pa.Array:
+            return fn(a)
+
+        run.__annotations__ = {k: pa.Array for k in run.__annotations__}
+        return F.arrow_udf(run, kind)(col)
+
+    return call
+
+
 def _scalar(fn: Callable, kind: str) -> Callable[..., Column]:
     """A UDF of EWKB and constants."""
     def call(geom: Column | str, *args) -> Column:
@@ -58,11 +71,11 @@ def _pair(fn: Callable, kind: str) -> Callable[[Column | str, Column | str], Col
 area, length = _scalar(S.area, "double"), _scalar(S.length, "double")
 spherical_area, spherical_length = _scalar(S.spherical_area, "double"), _scalar(S.spherical_length, "double")
 centroid, reverse, line_merge = _geom(S.centroid), _geom(S.reverse), _geom(S.line_merge)
-segmentize, simplify, transform = _geom(S.segmentize), _geom(S.simplify), _geom(S.transform)
-pole_of_inaccessibility, geometry_n = _geom(S.pole_of_inaccessibility), _geom(S.geometry_n)
+segmentize, simplify, _transform = _geom(S.segmentize), _geom(S.simplify), _geom(S.transform)
+geometry_n, _stretched_pole, _poles = _geom(S.geometry_n), _geom(S.pole_of_inaccessibility), _arrow_batch(B.poles_of, "binary")
 n_points, num_geometries = _scalar(S.n_points, "int"), _scalar(lambda g: len(g.parts), "int")
 geometry_type, srid, is_null = _scalar(lambda g: g.kind, "string"), _scalar(lambda g: g.srid, "int"), _scalar(lambda g: g.kind == "NULL", "boolean")
-bbox = _scalar(lambda g: (lambda b: None if b is None else dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)))(S.bbox(g)), "struct<x0:double,y0:double,x1:double,y1:double>")
+bbox, _mercator = _arrow_batch(B.boxes_of, "struct<x0:double,y0:double,x1:double,y1:double>"), _arrow_batch(B.mercator_of, "binary")
 is_valid = _scalar(S.is_valid, "boolean")
 split_multi = _scalar(lambda g: [S.to_ewkb(S.Geom(p.kind, p.data, g.srid)) for p in g.parts], "array<binary>")
 intersects, equals = _pair(S.intersects, "boolean"), _pair(lambda a, b: a == b, "boolean")
@@ -73,6 +86,14 @@ inscribed_width = _scalar(S.inscribed_width, "double")
 spans_within = _pair(lambda a, b: [{"a": x, "b": y} for x, y in S.spans_within(a, b)], "array<struct<a:double,b:double>>")
 
 
+def pole_of_inaccessibility(geom: Column | str, stretch: float = 1.0) -> Column:
+    return _stretched_pole(geom, stretch) if stretch > 0 and stretch != 1 else _poles(geom)
+
+
+def transform(geom: Column | str, srid: int) -> Column:
+    return _mercator(geom) if srid == 3857 else _transform(geom, srid)
+
+
 def as_hex(geom: Column | str) -> Column:
     return F.hex(geom)
 
@@ -92,7 +113,7 @@ def _from_lines(fn: Callable) -> Callable[[Column | str], Column]:
 
 
 as_linestring = _from_points(S.line)
-as_polygon = _from_points(S.polygon_of_way)
+as_polygon = _arrow_batch(B.polygons_of_ways, "binary")
 as_point = _from_points(lambda p: S.point(*p[0]) if p else S.NULL)
 as_multipoint = _from_points(lambda p: S.collect("MULTIPOINT", [S.point(*q) for q in p]))
 as_multilinestring = _from_lines(lambda ls: S.collect("MULTILINESTRING", [S.line(l) for l in ls]))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch as B
 from ..functions import coords as C
 
 
@@ -35,6 +39,18 @@ def way_lines(located: DataFrame) -> DataFrame:
     return located.withColumn("line", C.dedup(F.col("pts"))).where(F.size("line") >= 2).select("way_id", "line", "found")
 
 
+def way_polygons(rings: DataFrame, key: str = "id", ring: str = "ring") -> DataFrame:
+    """(key, geom) of closed ways that are polygons; each is made once (a filter on a UDF's result would have it made again)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            geom = B.polygons_of_ways(b.column(1))
+            there = geom.is_valid()
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(there), geom.filter(there)], names=[key, "geom"])
+
+    df = rings.select(key, ring)
+    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, geom binary")
+
+
 def members(edges: DataFrame, nodes: DataFrame, way_points: DataFrame, types: str = "nw") -> DataFrame:
     """(rel_id, members): array of struct<pos,type,ref,role,pts> in member order; missing ways are left out, nodes stay, repeats repeat."""
     n = edges.where("type = 'n'").join(nodes.select(F.col("id").alias("ref"), F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("pts")), "ref", "left")

@@ -1,9 +1,12 @@
 """Kernels on arrays, for large tables, against those that take one object at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave.functions import batch as B
+from mapweave.functions import shapes as S
 from mapweave.functions.coords import EARTH
 from mapweave.operators import expire as E
 from mapweave.plans import queries as Q
@@ -26,3 +29,34 @@ def test_line_tile_rows(spark, zoom, buffer, block):
 def test_line_tiles_are_not_shuffled(spark):
     plan = Q.e2_line_tiles(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not any(v in plan.split("MapInArrow")[0] for v in ("Aggregate", "Distinct"))
+
+
+def ways():
+    """Stars, some with equal distances; rings on a small grid that cross or touch themselves; open ones and gaps."""
+    rng, at = np.random.default_rng(2), [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    out = [[(float(r) * at[k * 8 // n][0] / 10, float(r) * at[k * 8 // n][1] / 10) for k, r in enumerate(rng.integers(1, 6, n))] for n in rng.integers(3, 9, 150)]
+    out += [[(float(x), float(y)) for x, y in rng.integers(0, 5, (n, 2))] for n in rng.integers(1, 8, 300)]
+    out += [[(30 + np.cos(v) * (3 + k % 2), 88 + np.sin(v)) for k, v in enumerate(np.arange(n) * 2 * np.pi / n)] for n in (12, 39, 60)]
+    out = [w + w[:1] if k % 9 else w for k, w in enumerate(out)]
+    return [*out, None, [], [(0.0, 0.0), None, (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]
+
+
+def test_batches_equal_the_kernels():
+    made = ways()
+    column = pa.array([w if w is None else [p if p is None else {"x": p[0], "y": p[1]} for p in w] for w in made], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    want = [w if w is None else S.to_ewkb(S.polygon_of_way([p for p in w if p])) or None for w in made]
+    got = B.polygons_of_ways(column)
+    assert got.to_pylist() == want and B.polygons_of_ways(column.slice(70, 200)).to_pylist() == want[70:270] and 150 < sum(v is not None for v in want) < 450
+    holed = S.to_ewkb(S.Geom("POLYGON", [[(0.0, 0.0), (9.0, 0.0), (9.0, 7.0), (0.0, 7.0), (0.0, 0.0)], [(2.0, 2.0), (2.0, 5.0), (4.0, 5.0), (2.0, 2.0)]]))
+    raw = [*want, holed, S.to_ewkb(S.point(3, 4)), S.to_ewkb(S.line([(1.0, 2.0), (5.0, 1.0)])), b"", S.to_ewkb(S.transform(S.from_ewkb(holed), 3857))]
+    one = lambda fn: [v if v is None else fn(S.from_ewkb(v)) or None for v in raw]
+    column = pa.array(raw, pa.binary())
+    assert B.poles_of(column).to_pylist() == one(lambda g: S.to_ewkb(S.pole_of_inaccessibility(g)))
+    assert B.mercator_of(column).to_pylist() == one(lambda g: S.to_ewkb(S.transform(g, 3857)))
+    assert [v and tuple(v.values()) for v in B.boxes_of(column).to_pylist()] == one(S.bbox)
+    assert B.poles_of(column.slice(3, 0)).to_pylist() == [] == B.boxes_of(column.slice(3, 0)).to_pylist()
+
+
+def test_polygons_are_made_once(spark):
+    plan = Q.f17_pole(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 == plan.count("ArrowEvalPython")
