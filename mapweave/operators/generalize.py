@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batch as B
 from ..functions import shapes as S
 from ..functions import st
 from ..functions.coords import EARTH, tile_box
@@ -199,6 +201,66 @@ def fill(canvas: np.ndarray, rings: list[np.ndarray]) -> None:
         canvas[rows] |= (at >= np.ceil(u - 0.5)) & (at < np.floor(v - 0.5) + 1) & np.isfinite(v)
 
 
+def fill_many(canvas: np.ndarray, rings: np.ndarray, block: int = 20_000) -> None:
+    """``fill`` with each of many polygons of one ring [polygon, point, xy]: the ends of their rows' spans are counted, then added up."""
+    n = canvas.shape[0]
+    low, high = rings[:, :, 1].min(axis=1), rings[:, :, 1].max(axis=1)
+    rings = rings[(high > 0) & (low < n)]
+    if not len(rings):
+        return
+    first, last = max(0, int(np.floor(low.min()))), min(n, int(np.ceil(high.max())) + 1)
+    y = np.arange(first, last) + 0.5
+    ends, base = np.zeros((last - first) * (n + 1), np.int64), np.arange(last - first) * (n + 1)
+    begun, ended, size = [], [], 0
+
+    def count(at, u, v):
+        nonlocal size
+        a, b = np.clip(np.ceil(u - 0.5), 0, n), np.clip(np.floor(v - 0.5) + 1, 0, n)
+        begun.append((at + a).astype(np.int64).ravel())
+        ended.append((at + np.maximum(a, b)).astype(np.int64).ravel())
+        size += len(begun[-1])
+        if size > 1 << 20:
+            add()
+
+    def add():
+        nonlocal size
+        if begun:
+            ends[:] += np.bincount(np.concatenate(begun), minlength=len(ends)) - np.bincount(np.concatenate(ended), minlength=len(ends))
+        begun.clear()
+        ended.clear()
+        size = 0
+
+    step = max(1, block // len(y))
+    for k in range(0, len(rings), step):
+        r = rings[k : k + step]
+        u, v, met = np.full((len(r), len(y)), np.inf), np.full((len(r), len(y)), -np.inf), np.zeros((len(r), len(y)), np.int16)
+        above = r[:, :, 1:] > y
+        xs = []
+        for e in range(r.shape[1] - 1):
+            a0, a1, b0, b1 = r[:, e, :1], r[:, e, 1:], r[:, e + 1, :1], r[:, e + 1, 1:]
+            cut = above[:, e] != above[:, e + 1]
+            x = y - a1
+            x /= np.where(a1 == b1, 1.0, b1 - a1)
+            x *= b0 - a0
+            x += a0
+            np.minimum(u, x, out=u, where=cut)
+            np.maximum(v, x, out=v, where=cut)
+            met += cut
+            x[~cut] = np.inf
+            xs.append(x)
+        most = int(met.max())
+        if most > 2:
+            at = np.nonzero(met > 2)
+            more = np.sort(np.stack([x[at] for x in xs], axis=1), axis=1)
+            for j in range(0, most, 2):
+                o = np.isfinite(more[:, j + 1])
+                count(base[at[1][o]], more[o, j], more[o, j + 1])
+            v[at] = -np.inf
+        count(base, u, v)
+    add()
+    canvas[first:last] |= ends.reshape(-1, n + 1).cumsum(axis=1)[:, :n] > 0
+
+
 def dilate(c: np.ndarray, r: int) -> np.ndarray:
     """Square structuring element, by running sums along each axis."""
     for axis in (0, 1):
@@ -247,8 +309,8 @@ def raster_union(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
     Shapes are drawn on a canvas of the tile and its margin, gaps closed and thin
     parts dropped, and the rest traced along pixel edges, which approximates the
     outline within a pixel. With ``builtup`` each layer is opened and closed by
-    itself and the layers are joined. A tile's canvas has a fixed size; its shapes
-    come one by one.
+    itself and the layers are joined. Shapes are drawn where they lie; canvases,
+    not shapes, are dealt by tile (``drawn``).
     """
     width = EARTH / (1 << zoom)
     pad = int(extent * margin)
@@ -256,7 +318,7 @@ def raster_union(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty, grp = key
         x0, y1 = tx * width - EARTH / 2, EARTH / 2 - ty * width
-        whole = _union(_layers(pdf, x0, y1, width, extent, pad, builtup), buffer)
+        whole = _union(_layers(pdf, extent + 2 * pad), buffer)
         inner = whole[pad : pad + extent, pad : pad + extent]
         out = []
         for rings in trace(inner, least):
@@ -265,21 +327,87 @@ def raster_union(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
             out.append((tx, ty, grp, S.to_ewkb(g), S.area(g)))
         return pd.DataFrame(out, columns=["tx", "ty", "grp", "geom", "area"])
 
-    return tiles.groupBy("tx", "ty", "grp").applyInPandas(run, RASTER)
+    return drawn(tiles, zoom, extent, pad, builtup).groupBy("tx", "ty", "grp").applyInPandas(run, RASTER)
 
 
-def _layers(pdf: pd.DataFrame, x0: float, y1: float, width: float, extent: int, pad: int, apart: bool) -> list[np.ndarray]:
-    """A tile's shapes drawn one by one, on one canvas or on one for each layer."""
-    n = extent + 2 * pad
+def drawn(tiles: DataFrame, zoom: int, extent: int, pad: int, apart: bool, rows: int = 100_000, canvases: int = 200) -> DataFrame:
+    """(tx, ty, grp, layer, top, left, height, width, bits): what each task drew of a tile, group and layer (without ``apart``: of all layers).
+
+    About ``rows`` shapes are drawn at a time, each canvas by itself. A task
+    holds at most so many ``canvases`` and hands the rest on, cut to what is set
+    in them, a bit a pixel.
+    """
+    width, n = EARTH / (1 << zoom), extent + 2 * pad
+
+    def crop(c: np.ndarray) -> tuple[int, int, int, int, bytes]:
+        ys, xs = np.nonzero(c.any(axis=1))[0], np.nonzero(c.any(axis=0))[0]
+        if not len(ys):
+            return 0, 0, 0, 0, b""
+        part = c[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+        return int(ys[0]), int(xs[0]), *part.shape, np.packbits(part).tobytes()
+
+    def draw(canvas: np.ndarray, tx: int, ty: int, raw: pa.Array) -> None:
+        x0, y1 = tx * width - EARTH / 2, EARTH / 2 - ty * width
+        place = lambda x, y: ((x - x0) / width * extent + pad, (y1 - y) / width * extent + pad)
+        got, rest = B.parse_polygons(raw)
+        for _, _, r in got:
+            fill_many(canvas, np.stack(place(r[..., 0], r[..., 1]), axis=-1))
+        for v in raw.take(pa.array(rest)).to_pylist():
+            for p in S.from_ewkb(v).parts:
+                for poly in p.parts:
+                    if poly.kind == "POLYGON":
+                        one = np.zeros((n, n), bool)
+                        fill(one, [np.array([place(x, y) for x, y in r]) for r in poly.data])
+                        canvas |= one
+
+    def hand_on(held: dict) -> Iterator[pa.RecordBatch]:
+        keys = list(held)
+        for k in range(0, len(keys), 64):
+            made = [(*key, *crop(held.pop(key))) for key in keys[k : k + 64]]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, m, strict=True)) for m in made], schema)
+
+    schema = pa.schema([("tx", pa.int32()), ("ty", pa.int32()), ("grp", pa.string()), ("layer", pa.string()), ("top", pa.int32()), ("left", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("bits", pa.binary())])
+
+    def take(kept: list[pa.RecordBatch], held: dict) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        codes, values = np.zeros(len(t), np.int64), []
+        for c in t.columns[:4]:
+            d = c.combine_chunks().dictionary_encode("encode")
+            d = d.chunk(0) if isinstance(d, pa.ChunkedArray) else d
+            values.append(d.dictionary.to_pylist())
+            codes = np.unique(codes * len(values[-1]) + d.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(codes, kind="stable")
+        geom = t.column(4).combine_chunks()
+        geom = geom.chunk(0) if isinstance(geom, pa.ChunkedArray) else geom
+        for rows in np.split(order, np.nonzero(np.diff(codes[order]))[0] + 1) if len(order) else ():
+            key = tuple(t.column(k)[int(rows[0])].as_py() for k in range(4))
+            if key not in held and len(held) >= canvases:
+                yield from hand_on(held)
+            draw(held.setdefault(key, np.zeros((n, n), bool)), key[0], key[1], geom.take(pa.array(rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kept: list = []
+        for b in batches:
+            kept.append(b)
+            if sum(len(v) for v in kept) >= rows or sum(v.nbytes for v in kept) >= 64 << 20:
+                yield from take(kept, held)
+                kept = []
+        if kept:
+            yield from take(kept, held)
+        yield from hand_on(held)
+
+    layer = F.col("layer").cast("string") if apart else F.lit("")
+    df = tiles.select(F.col("tx").cast("int").alias("tx"), F.col("ty").cast("int").alias("ty"), F.col("grp").cast("string").alias("grp"), layer.alias("layer"), "geom")
+    return df.mapInArrow(run, "tx int, ty int, grp string, layer string, top int, left int, height int, width int, bits binary")
+
+
+def _layers(pdf: pd.DataFrame, n: int) -> list[np.ndarray]:
+    """A tile's parts of ``drawn`` put together, a canvas for each layer."""
     layers: dict = {}
-    for layer, raw in zip(pdf["layer"], pdf["geom"], strict=True):
-        canvas = layers.setdefault(layer if apart else "", np.zeros((n, n), bool))
-        for p in S.from_ewkb(raw).parts:
-            for poly in p.parts:
-                if poly.kind == "POLYGON":
-                    one = np.zeros((n, n), bool)
-                    fill(one, [np.array([((x - x0) / width * extent + pad, (y1 - y) / width * extent + pad) for x, y in r]) for r in poly.data])
-                    canvas |= one
+    for layer, top, left, height, width, bits in pdf[["layer", "top", "left", "height", "width", "bits"]].itertuples(index=False):
+        canvas = layers.setdefault(layer, np.zeros((n, n), bool))
+        canvas[top : top + height, left : left + width] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=height * width).reshape(height, width).astype(bool)
     return list(layers.values()) or [np.zeros((n, n), bool)]
 
 
@@ -319,17 +447,16 @@ def raster_files(tiles: DataFrame, zoom: int, extent: int = 256, margin: float =
 
     A name is tile, group and stage; a writer adds folder and ending.
     """
-    width = EARTH / (1 << zoom)
     pad = int(extent * margin)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tx, ty, grp = key
-        layers = _layers(pdf, tx * width - EARTH / 2, EARTH / 2 - ty * width, width, extent, pad, builtup)
+        layers = _layers(pdf, extent + 2 * pad)
         name = f"{tx}-{ty}-{grp}-" if isinstance(grp, str) and grp else f"{tx}-{ty}-"
         two = (("i", np.logical_or.reduce(layers)), ("o", _union(layers, buffer)))
         return pd.DataFrame([(tx, ty, grp, name + v, png(c), world_file(tx, ty, zoom, extent, pad), raster_wkb(c, tx, ty, zoom, pad)) for v, c in two], columns=["tx", "ty", "grp", "name", "png", "wld", "wkb"])
 
-    return tiles.groupBy("tx", "ty", "grp").applyInPandas(run, "tx int, ty int, grp string, name string, png binary, wld string, wkb binary")
+    return drawn(tiles, zoom, extent, pad, builtup).groupBy("tx", "ty", "grp").applyInPandas(run, "tx int, ty int, grp string, name string, png binary, wld string, wkb binary")
 
 
 def vector_union(tiles: DataFrame, zoom: int, margin: float = 0.0, buffer: int = 1, extent: int = 512) -> DataFrame:

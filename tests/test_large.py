@@ -9,6 +9,7 @@ from mapweave.functions import batch as B
 from mapweave.functions import shapes as S
 from mapweave.functions.coords import EARTH
 from mapweave.operators import expire as E
+from mapweave.operators import generalize as G
 from mapweave.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +61,46 @@ def test_batches_equal_the_kernels():
 def test_polygons_are_made_once(spark):
     plan = Q.f17_pole(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 == plan.count("ArrowEvalPython")
+
+
+def test_fill_many_equals_fill():
+    rng = np.random.default_rng(3)
+    for k in range(90):
+        r = rng.uniform(-20, 60, (int(rng.integers(1, 5)), int(rng.integers(3, 9)), 2))
+        r = np.round(r * 2) / 2 if k % 3 == 0 else r  # vertices and edges through pixels' centres
+        r = np.concatenate([r, r[:, :1]], axis=1)
+        got, want = np.zeros((40, 40), bool), np.zeros((40, 40), bool)
+        G.fill_many(got, r, block=int(rng.integers(1, 500)))
+        for one in r:
+            G.fill(want, [one])
+        assert (got == want).all()
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_canvases_are_put_together(spark, apart):
+    width, rng, n = EARTH / 1024, np.random.default_rng(4), 32
+    ring = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s / 2), (x, y + s), (x, y)]
+    shapes = [(int(t), 1, "g" if t % 2 else None, None if k % 3 == 0 else f"l{k % 3}", S.to_ewkb(S.Geom("POLYGON", [ring(t * width - EARTH / 2 + a * width, EARTH / 2 - width * (1 + b), width * s)], 3857)))
+              for k, (t, (a, b, s)) in enumerate(zip(rng.integers(0, 6, 200), rng.uniform(0, 0.4, (200, 3)), strict=True))]
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    at = lambda r: [(x * width - EARTH / 2, EARTH / 2 - width - y * width) for x, y in r]
+    shapes += [(0, 1, None, "h", S.to_ewkb(S.Geom("POLYGON", [at(square(0.1, 0.9)), at(square(0.3, 0.6))], 3857))), (9, 1, "e", "l", b""), (9, 2, "e", "l", None)]
+    df = spark.createDataFrame(shapes, "tx int, ty int, grp string, layer string, geom binary").repartition(3)
+    got = {}
+    for r in G.drawn(df, 10, n, 4, apart, rows=10, canvases=2).collect():
+        c = got.setdefault((r["tx"], r["ty"], r["grp"], r["layer"]), np.zeros((n + 8, n + 8), bool))
+        c[r["top"] : r["top"] + r["height"], r["left"] : r["left"] + r["width"]] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["height"] * r["width"]).reshape(r["height"], r["width"]).astype(bool)
+    want = {}
+    for tx, ty, grp, layer, raw in shapes:
+        c = want.setdefault((tx, ty, grp, layer if apart else ""), np.zeros((n + 8, n + 8), bool))
+        if raw:
+            one = np.zeros_like(c)
+            G.fill(one, [np.array([((x - (tx * width - EARTH / 2)) / width * n + 4, (EARTH / 2 - ty * width - y) / width * n + 4) for x, y in r]) for r in S.from_ewkb(raw).data])
+            c |= one
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+
+
+@pytest.mark.parametrize("name", ["n1_vector_union", "n2_raster_union", "n3_builtup"])
+def test_shapes_are_drawn_before_they_are_dealt(spark, name):
+    dealt = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[1].split("MapInArrow")[0]
+    assert "bits" in dealt and "layer" in dealt and "Generate" not in dealt
