@@ -320,3 +320,134 @@ def boxes_of(raw: pa.Array) -> pa.Array:
         if b is not None:
             out[:, k], there[k] = b, True
     return pa.StructArray.from_arrays([pa.array(v) for v in out], fields=list(BOX), mask=pa.array(~there))
+
+
+# -- lines -----------------------------------------------------------------------------------
+
+def parse_lines(raw: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """[(rows, points [row, point, xy])] of EWKB lines, and the rows that hold anything else but null."""
+    raw = raw.cast(pa.binary())
+    if not len(raw):
+        return [], np.zeros(0, np.int64)
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    out, rest = [], [np.zeros(0, np.int64)]
+    for size, rows in _same(np.where(raw.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), -1), BLOCK * 8):
+        n, odd = divmod(size - 13, 16)
+        if size < 0:
+            continue
+        if n < 2 or odd:
+            rest.append(rows)
+            continue
+        whole = data[offsets[rows][:, None] + np.arange(size)]
+        head = np.ascontiguousarray(whole[:, 1:13]).view("<u4")
+        ok = (whole[:, 0] == 1) & (head[:, 0] == (2 | 0x20000000)) & (head[:, 2] == n)
+        rest.append(rows[~ok])
+        out.append((rows[ok], np.ascontiguousarray(whole[ok, 13:]).view("<f8").reshape(-1, n, 2)))
+    return out, np.sort(np.concatenate(rest))
+
+
+def line_bytes(pts: np.ndarray) -> np.ndarray:
+    n, k, _ = pts.shape
+    head = np.frombuffer(struct.pack("<BIII", 1, 2 | 0x20000000, 4326, k), np.uint8)
+    return np.concatenate([np.broadcast_to(head, (n, 13)), np.ascontiguousarray(pts, "<f8").view(np.uint8).reshape(n, 16 * k)], axis=1)
+
+
+def lines_of(ways: pa.Array) -> pa.Array:
+    """``line`` of array<struct<x,y>>, as EWKB."""
+    p, off = ways.values, ways.offsets.to_numpy().astype(np.int64)
+    x, y = (p.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+    gap = p.is_null().to_numpy(zero_copy_only=False) | p.field("x").is_null().to_numpy(zero_copy_only=False) | p.field("y").is_null().to_numpy(zero_copy_only=False)
+    there = ways.is_valid().to_numpy(zero_copy_only=False)
+    parts, rest = [], [np.zeros(0, np.int64)]
+    for size, rows in _same(np.where(there, np.diff(off), -1), BLOCK):
+        if size < 2:
+            continue
+        at = off[rows][:, None] + np.arange(size)
+        ok = ~gap[at].any(axis=1) & ((x[at[:, 1:]] != x[at[:, :-1]]) | (y[at[:, 1:]] != y[at[:, :-1]])).all(axis=1)
+        parts.append((rows[ok], line_bytes(np.stack([x[at[ok]], y[at[ok]]], axis=2))))
+        rest.append(rows[~ok])
+    rows = np.concatenate(rest)
+    pts = lambda w: [(v["x"], v["y"]) for v in w if v is not None and v["x"] is not None and v["y"] is not None]
+    return write_bytes(len(ways), parts + one_by_one(rows, ways.take(pa.array(rows)).to_pylist(), lambda w: S.to_ewkb(S.line(pts(w)))))
+
+
+def line_measures(raw: pa.Array) -> np.ndarray:
+    """[number of points, length, x0, y0, x1, y1] by row; no points: none of it."""
+    got, rest = parse_lines(raw)
+    out = np.zeros((6, len(raw)))
+    for rows, r in got:
+        d = np.diff(r, axis=1)
+        size = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1])
+        out[:, rows] = np.concatenate([[np.full(len(rows), r.shape[1]), size.sum(axis=1)], r.min(axis=1).T, r.max(axis=1).T])
+    for k, v in zip(rest.tolist(), raw.take(pa.array(rest)).to_pylist(), strict=True):
+        g = S.from_ewkb(v)
+        b = S.bbox(g)
+        if b is not None:
+            out[:, k] = S.n_points(g), S.length(g), *b
+    return out
+
+
+def spans_of_lines(pts: np.ndarray, g: S.Geom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, from, to) in order: ``spans_within`` of lines of the same number of points [line, point, xy] in one area."""
+    rings = [np.asarray(r, float) for p in g.parts if p.kind == "POLYGON" for r in p.data]
+    none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    if not rings or not len(pts):
+        return none
+    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    near, block = 1e-9, max(1, 100_000 // len(a))
+    extent = 1e-9 * np.maximum(np.ptp(pts, axis=1).max(axis=1), 1e-300)
+    (e0, e1), d = (b - a).T, np.diff(pts, axis=1)
+    squares, size = np.maximum(e0 * e0 + e1 * e1, 1e-300), np.hypot(d[..., 0], d[..., 1])
+    at = (np.cumsum(size, axis=1) - size).ravel()
+    line = np.repeat(np.arange(len(pts)), pts.shape[1] - 1)
+    p, d, size = pts[:, :-1].reshape(-1, 2), d.reshape(-1, 2), size.ravel()
+    some = size > 0
+    p, d, at, size, line = p[some], d[some], at[some], size[some], line[some]
+    eps = extent[line]
+    got = []
+    for k in range(0, len(p), block):
+        q, f, s = p[k : k + block], d[k : k + block], size[k : k + block, None]
+        f0, f1 = f[:, :1], f[:, 1:]
+        w0, w1 = a[:, 0] - q[:, :1], a[:, 1] - q[:, 1:]
+        turn, off = f0 * e1 - f1 * e0, (w0 * f1 - w1 * f0) / s
+        flat = np.abs(turn) <= 1e-12 * s * np.sqrt(squares)
+        safe = np.where(flat, 1.0, turn)
+        t, u = (w0 * e1 - w1 * e0) / safe, off * s / safe
+        cut = ~flat & (u >= -near) & (u <= 1 + near) & (t >= -near) & (t <= 1 + near)
+        along = flat & (np.abs(off) <= eps[k : k + block, None])
+        begin = (w0 * f0 + w1 * f1) / (s * s)
+        end = begin + (e0 * f0 + e1 * f1) / (s * s)
+        seg = np.concatenate([np.nonzero(cut)[0], np.repeat(np.nonzero(along)[0], 2)])
+        met = np.concatenate([t[cut], np.stack([begin[along], end[along]], axis=1).ravel()])
+        seg, met = (v[(met >= -near) & (met <= 1 + near)] for v in (seg, met))
+        met = np.clip(met, 0.0, 1.0)
+        touch = at[k + seg] + met * size[k + seg]
+        got.append((line[k + seg], touch, touch))
+        seg, ts = np.concatenate([np.repeat(np.arange(len(q)), 2), seg]), np.concatenate([np.tile([0.0, 1.0], len(q)), met])
+        order = np.lexsort((ts, seg))
+        seg, ts = seg[order], ts[order]
+        o = np.nonzero((seg[1:] == seg[:-1]) & (ts[1:] > ts[:-1]))[0]
+        m = q[seg[o]] + (ts[o] + ts[o + 1])[:, None] / 2 * f[seg[o]]
+        m0, m1 = m[:, :1] - a[:, 0], m[:, 1:] - a[:, 1]
+        over = (m1 < 0) != (m[:, 1:] < b[:, 1])
+        odd = (over & (m0 < e0 * m1 / np.where(e1 == 0, 1.0, e1))).sum(axis=1) % 2 == 1
+        g0 = np.clip((m0 * e0 + m1 * e1) / squares, 0.0, 1.0)
+        o = o[odd | (((m0 - g0 * e0) ** 2 + (m1 - g0 * e1) ** 2).min(axis=1) <= eps[k + seg[o]] ** 2)]
+        i = k + seg[o]
+        got.append((line[i], at[i] + ts[o] * size[i], at[i] + ts[o + 1] * size[i]))
+    of, x, y = (np.concatenate([v[k] for v in got]) for k in range(3)) if got else none
+    if not len(of):
+        return none
+    order = np.lexsort((y, x, of))
+    of, x, y = of[order], x[order], y[order]
+    # Spans that meet are joined, all lines' k-th at once.
+    first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
+    n, reach, new = np.diff(np.append(first, len(of))), y[first], np.ones(len(of), bool)
+    for k in range(1, int(n.max())):
+        g = np.nonzero(n > k)[0]
+        i = first[g] + k
+        new[i] = x[i] > reach[g] + extent[of[i]]
+        reach[g] = np.where(new[i], y[i], np.maximum(reach[g], y[i]))
+    begin = np.nonzero(new)[0]
+    return of[begin], x[begin], np.maximum.reduceat(y, begin)

@@ -112,7 +112,7 @@ def _from_lines(fn: Callable) -> Callable[[Column | str], Column]:
     return arrow_fn(lambda v: S.to_ewkb(fn([_points(l) for l in v if l is not None])) or None, "binary")
 
 
-as_linestring = _from_points(S.line)
+as_linestring = _arrow_batch(B.lines_of, "binary")
 as_polygon = _arrow_batch(B.polygons_of_ways, "binary")
 as_point = _from_points(lambda p: S.point(*p[0]) if p else S.NULL)
 as_multipoint = _from_points(lambda p: S.collect("MULTIPOINT", [S.point(*q) for q in p]))

@@ -156,28 +156,73 @@ def river_widths(lines: DataFrame, areas: DataFrame, size: float = 10.0) -> Data
     sum is over the line's length) and leaving out areas that it also touches at
     a lone point. Areas without a width have twice the radius of their largest
     inscribed circle. Lines and areas meet by cells of ``size`` of their boxes;
-    only ids are dealt. Lines that are not covered keep null.
+    the kernel takes an area with all its lines of a batch at once. Lines that
+    are not covered keep null.
     """
     from .spatial import cells
 
-    wide = areas.select("area_id", F.col("geom").alias("area"), F.coalesce("width", st.inscribed_width("geom")).alias("area_width"))
-    asked = lines.where("width IS NULL").select("way_id", "geom", st.length("geom").alias("len")).where(st.n_points("geom") > 2)
+    def dealt(df):
+        return df.withColumn("cell", F.explode(cells(F.col("b.x0"), F.col("b.y0"), F.col("b.x1"), F.col("b.y1"), size)))
 
-    def dealt(df, key, geom):
-        b = df.select(key, st.bbox(geom).alias("b")).where("b IS NOT NULL")
-        return b.withColumn("cell", F.explode(cells(F.col("b.x0"), F.col("b.y0"), F.col("b.x1"), F.col("b.y1"), size)))
+    wide = areas.select("geom", F.coalesce("width", st.inscribed_width("geom")).alias("area_width"), st.bbox("geom").alias("b")).where("b IS NOT NULL")
+    wide = dealt(wide).select("cell", F.col("b").alias("c"), F.col("geom").alias("area"), "area_width")
+    boxes = "x0 double, y0 double, x1 double, y1 double"
+    kind = lines.schema["way_id"].dataType.simpleString()
 
-    hit = dealt(asked, "way_id", "geom").join(dealt(wide, "area_id", "area").withColumnRenamed("b", "c"), "cell")
-    hit = hit.where("b.x0 <= c.x1 AND b.x1 >= c.x0 AND b.y0 <= c.y1 AND b.y1 >= c.y0")
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in batches:
+            m = B.line_measures(v.column(1))
+            more = pa.array(m[0] > 2)
+            b = pa.StructArray.from_arrays([pa.array(c) for c in m[2:]], fields=list(B.BOX))
+            yield pa.RecordBatch.from_arrays([c.filter(more) for c in (v.column(0), v.column(1), pa.array(m[1]), b)], names=["way_id", "geom", "len", "b"])
+
+    asked = lines.where("width IS NULL").select("way_id", "geom").mapInArrow(measured, f"way_id {kind}, geom binary, len double, b struct<{boxes}>")
+    hit = dealt(asked).join(wide, "cell").where("b.x0 <= c.x1 AND b.x1 >= c.x0 AND b.y0 <= c.y1 AND b.y1 >= c.y0")
     once = [F.col(f"cell.{i}") == F.floor(F.greatest(f"b.{v}", f"c.{v}") / size) for i, v in (("i", "x0"), ("j", "y0"))]
-    pairs = hit.where(once[0] & once[1]).select("way_id", "area_id")
-    # The kernel's work grows with pairs, not with bytes, by which adaptive execution would merge them into few tasks.
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = pairs.join(wide, "area_id").repartition(tasks, "way_id").join(asked, "way_id")
-    spans = met.select("way_id", "area_width", "len", st.spans_within("geom", "area").alias("s"))
+    met = hit.where(once[0] & once[1]).select("way_id", "len", "area_width", "geom", "area")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
+        for v in batches:
+            kept.append(v)
+            if sum(map(len, kept)) >= 50_000 or sum(r.nbytes for r in kept) >= 64 << 20:
+                yield from cut(kept)
+                kept = []
+        if kept:
+            yield from cut(kept)
+
+    def cut(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        way, length, width, geom, area = (pa.concat_arrays([v.column(k) for v in kept]) for k in range(5))
+        area = area.dictionary_encode()
+        of, known = area.indices.to_numpy(), [S.from_ewkb(v) for v in area.dictionary.to_pylist()]
+        spans = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        got, rest = B.parse_lines(geom)
+        for rows, pts in got:
+            order = np.argsort(of[rows], kind="stable")
+            for part in np.split(order, np.nonzero(np.diff(of[rows[order]]))[0] + 1):
+                if len(part):
+                    k, x, y = B.spans_of_lines(pts[part], known[of[rows[part[0]]]])
+                    spans.append((rows[part][k], x, y))
+        for k, v in zip(rest.tolist(), geom.take(pa.array(rest)).to_pylist(), strict=True):
+            s = S.spans_within(S.from_ewkb(v), known[of[k]])
+            spans.append((np.full(len(s), k), *np.array(s, float).reshape(-1, 2).T))
+        row, x, y = (np.concatenate([v[k] for v in spans]) for k in range(3))
+        order = np.argsort(row, kind="stable")
+        row, x, y = row[order], x[order], y[order]
+        first = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0] if len(row) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(first, len(row)).astype(np.int32))
+        at = row[first]
+        far = length.to_numpy(zero_copy_only=False)[at]
+        lone = np.logical_or.reduceat(y - x <= far[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))] * 1e-9, first) if len(row) else np.zeros(0, bool)
+        part = np.add.reduceat(y - x, first) if len(row) else np.zeros(0)
+        w = width.to_numpy(zero_copy_only=False).astype(float)[at]
+        share = pa.array(part * w, mask=lone | np.isnan(w))
+        s = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"]))
+        yield pa.RecordBatch.from_arrays([way.take(pa.array(at)), pa.array(far), share, s], names=["way_id", "len", "share", "s"])
+
+    spans = met.mapInArrow(within, f"way_id {kind}, len double, share double, s array<struct<a:double,b:double>>")
+    of = spans.groupBy("way_id").agg(F.max("len").alias("len"), F.sum("share").alias("sum"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     thin = F.col("len") * 1e-9
-    spans = spans.withColumn("own", F.aggregate("s", F.lit(0.0), lambda v, p: v + p["b"] - p["a"])).withColumn("lone", F.exists("s", lambda p: p["b"] - p["a"] <= thin))
-    of = spans.groupBy("way_id").agg(F.max("len").alias("len"), F.sum(F.when(~F.col("lone"), F.col("own") * F.col("area_width"))).alias("sum"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
     reach = F.aggregate("s", F.lit(0.0), lambda v, p: F.when(p["a"] <= v + thin, F.greatest(v, p["b"])).otherwise(v))
     got = of.where(reach >= F.col("len") - thin).select("way_id", (F.col("sum") / F.col("len")).alias("w"))
     return lines.select("way_id", "width").join(got, "way_id", "left").select("way_id", F.coalesce("width", "w").alias("width"))

@@ -104,3 +104,35 @@ def test_canvases_are_put_together(spark, apart):
 def test_shapes_are_drawn_before_they_are_dealt(spark, name):
     dealt = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[1].split("MapInArrow")[0]
     assert "bits" in dealt and "layer" in dealt and "Generate" not in dealt
+
+
+def test_lines_in_batches_equal_the_kernels():
+    rng = np.random.default_rng(5)
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    areas = [S.Geom("POLYGON", [square(1.0, 6.0)]), S.Geom("POLYGON", [square(0.0, 8.0), square(2.0, 4.0)]), S.Geom("MULTIPOLYGON", [S.Geom("POLYGON", [square(0.0, 3.0)]), S.Geom("POLYGON", [square(5.0, 7.0)])]), S.point(1, 1)]
+    found = 0
+    for n in (2, 3, 6):
+        pts = np.round(rng.uniform(0, 8, (80, n, 2)))
+        pts[40:] += rng.uniform(-1, 1, (40, n, 2))
+        lines = [S.Geom("LINESTRING", [tuple(p) for p in l.tolist()]) for l in pts]
+        for g in areas:
+            got = [[] for _ in lines]
+            for k, x, y in zip(*(v.tolist() for v in B.spans_of_lines(pts, g)), strict=True):
+                got[k].append((x, y))
+            want = [S.spans_within(l, g) for l in lines]
+            assert [len(v) for v in got] == [len(v) for v in want] and np.allclose([p for v in got for p in v], [p for v in want for p in v], rtol=0, atol=1e-12)
+            found += sum(map(len, want))
+    assert found > 500
+    made = ways()
+    column = pa.array([w if w is None else [p if p is None else {"x": p[0], "y": p[1]} for p in w] for w in made], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    want = [w if w is None else S.to_ewkb(S.line([p for p in w if p])) or None for w in made]
+    raw = [*want, S.to_ewkb(areas[2]), b""]
+    assert B.lines_of(column).to_pylist() == want
+    for k, r in enumerate(B.line_measures(pa.array(raw, pa.binary())).T.tolist()):
+        g = S.from_ewkb(raw[k])
+        assert r == pytest.approx([S.n_points(g), S.length(g), *(S.bbox(g) or (0, 0, 0, 0))])
+
+
+def test_river_widths_in_batches(spark):
+    plan = Q.j13_river_widths(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
